@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-from marquesina.functions.text import blank_to_null, strip
+from marquesina.functions.text import blank_to_null, let, strip
 
 # Horizons in days, the hour before which a night still counts as the day before,
 # and the zone events are listed in.
@@ -31,34 +31,28 @@ def parse_time_text(text: Column) -> Column:
 
 def clock(text: Column) -> Column:
     """Struct of hours and minutes from free text, noon when there is none to read (I4)."""
-    low = F.lower(text)
-    half = F.when(F.contains(low, F.lit("pm")), "pm").when(F.contains(low, F.lit("am")), "am")
-    bare = strip(F.regexp_replace(low, "am|pm", ""))
-    hour_text = strip(F.substring_index(bare, ":", 1))
-    minute_text = strip(F.get(F.split(bare, ":"), F.lit(1)))
-    readable = (
-        F.length(strip(text)).isNotNull() & (F.length(strip(text)) > 0)
-        & hour_text.rlike(r"^\d*$") & F.coalesce(minute_text.rlike(r"^\d*$"), F.lit(True))
-    )
-    hour = F.coalesce(F.expr("null").cast("int"), F.when(hour_text == "", 0).otherwise(hour_text.try_cast("int")))
-    minute = F.coalesce(blank_to_null(minute_text).try_cast("int"), F.lit(0))
-    turned = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    ok = F.coalesce(readable, F.lit(False))
-    return F.struct(
-        F.when(ok, turned).otherwise(12).cast("int").alias("hours"),
-        F.when(ok, minute).otherwise(0).cast("int").alias("minutes"),
-    )
+    def read(low: Column) -> Column:
+        shape = r"^\s*(\d+)\s*(?::\s*(\d*)\s*(?::.*)?)?$"
+        bare = F.regexp_replace(low, "am|pm", "")
+        half = F.when(F.contains(low, F.lit("pm")), "pm").when(F.contains(low, F.lit("am")), "am")
+        parts = F.struct(
+            F.regexp_extract(bare, shape, 1).try_cast("int").alias("h"),
+            F.coalesce(F.regexp_extract(bare, shape, 2).try_cast("int"), F.lit(0)).alias("m"), half.alias("half"))
+        return let(parts, turn)
+    def turn(p: Column) -> Column:
+        hour = F.when((p["half"] == "pm") & (p["h"] < 12), p["h"] + 12).when((p["half"] == "am") & (p["h"] == 12), 0).otherwise(p["h"])
+        return F.struct(F.coalesce(hour, F.lit(12)).alias("hours"), F.when(p["h"].isNotNull(), p["m"]).otherwise(0).alias("minutes"))
+    return let(F.lower(F.coalesce(text, F.lit(""))), read)
 
 
 def event_instant(date_text: Column, time_text: Column) -> Column:
     """Instant of a listed date and time in the fixed offset of the events."""
-    at = clock(time_text)
-    iso = F.concat(
-        date_text, F.lit("T"), F.lpad(at["hours"].cast("string"), 2, "0"), F.lit(":"),
-        F.lpad(at["minutes"].cast("string"), 2, "0"), F.lit(":00" + EVENT_OFFSET),
-    )
-    valid = date_text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (at["hours"] < 24) & (at["minutes"] < 60)
-    return F.try_to_timestamp(F.when(valid, iso), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    def at(c: Column) -> Column:
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        iso = F.concat(date_text, F.lit("T"), two(c["hours"]), F.lit(":"), two(c["minutes"]), F.lit(":00" + EVENT_OFFSET))
+        valid = date_text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (c["hours"] < 24) & (c["minutes"] < 60)
+        return F.try_to_timestamp(F.when(valid, iso), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    return let(clock(time_text), at)
 
 
 def parse_listed_occurrences(raw: Column) -> Column:
@@ -83,10 +77,12 @@ def local(at: Column) -> Column:
 
 def effective_end(start: Column, end: Column) -> Column:
     """An end before 05:00 of another day counts as the last instant of the day before."""
-    wall = local(end)
-    overnight = (F.to_date(local(start)) != F.to_date(wall)) & (F.hour(wall) < NIGHT_CUTOFF_HOUR)
-    day_before = F.to_utc_timestamp(F.date_trunc("day", wall), EVENT_ZONE) - F.expr("interval 1 millisecond")
-    return F.when(overnight, day_before).otherwise(end)
+    def shift(t: Column) -> Column:
+        wall = local(t["end"])
+        overnight = (F.to_date(local(t["start"])) != F.to_date(wall)) & (F.hour(wall) < NIGHT_CUTOFF_HOUR)
+        day_before = F.to_utc_timestamp(F.date_trunc("day", wall), EVENT_ZONE) - F.expr("interval 1 millisecond")
+        return F.when(overnight, day_before).otherwise(t["end"])
+    return let(F.struct(start.alias("start"), end.alias("end")), shift)
 
 
 def filter_bounds(start: dt.date | None, end: dt.date | None, app_start: dt.date, app_end: dt.date) -> tuple[Column, Column]:
@@ -130,37 +126,39 @@ def _given(text: Column) -> Column:
     return F.coalesce(F.length(strip(text)) > 0, F.lit(False))
 
 
+def _label_parts(o: Column) -> Column:
+    """The texts a label is put together from; a time is null where none was given."""
+    return F.struct(
+        F.to_date(o["start"]).alias("day"), _day(o["start"]).alias("start_day"), _day(o["end"]).alias("end_day"),
+        (F.to_date(local(o["start"])) == F.to_date(local(o["end"]))).alias("one_day"),
+        F.when(_given(o["start_text"]), compact_clock(o["start"])).alias("start"),
+        F.when(_given(o["end_text"]), compact_clock(o["end"])).alias("end"))
+
+
+def _span(p: Column) -> Column:
+    return F.when(p["start"] != p["end"], F.concat(p["start"], F.lit("–"), p["end"])).otherwise(p["start"])
+
+
 def single_label(o: Column) -> Column:
     """Label of one occurrence."""
-    same_day = F.to_date(local(o["start"])) == F.to_date(local(o["end"]))
-    start = F.when(_given(o["start_text"]), compact_clock(o["start"]))
-    end = F.when(_given(o["end_text"]), compact_clock(o["end"]))
-    one_day = F.when(start.isNotNull() & end.isNotNull() & (start != end), F.concat(_day(o["start"]), F.lit(", "), start, F.lit("–"), end)) \
-        .when(start.isNotNull(), F.concat(_day(o["start"]), F.lit(", "), start)).otherwise(_day(o["start"]))
-    span = F.concat(
-        _day(o["start"]), F.coalesce(F.concat(F.lit(", "), start), F.lit("")), F.lit(" – "),
-        _day(o["end"]), F.coalesce(F.concat(F.lit(", "), end), F.lit("")),
-    )
-    return F.when(same_day, one_day).otherwise(span)
+    def put(p: Column) -> Column:
+        after = lambda c: F.coalesce(F.concat(F.lit(", "), c), F.lit(""))
+        return F.when(p["one_day"], F.concat(p["start_day"], after(_span(p)))).otherwise(
+            F.concat(p["start_day"], after(p["start"]), F.lit(" – "), p["end_day"], after(p["end"])))
+    return let(_label_parts(o), put)
 
 
 def multiple_label(occurrences: Column) -> Column:
     """Label of several occurrences, grouped by date with distinct times in order."""
-    def time_text(o: Column) -> Column:
-        same_day = F.to_date(local(o["start"])) == F.to_date(local(o["end"]))
-        start, end = compact_clock(o["start"]), compact_clock(o["end"])
-        return F.when(
-            _given(o["start_text"]) & _given(o["end_text"]) & same_day & (start != end), F.concat(start, F.lit("–"), end)
-        ).when(_given(o["start_text"]), start)
-    dated = F.transform(occurrences, lambda o: F.struct(
-        F.to_date(o["start"]).alias("day"), _day(o["start"]).alias("label"), time_text(o).alias("time")))
-    days = F.array_distinct(F.transform(dated, lambda o: o["day"]))
-    def group(day: Column) -> Column:
-        inside = F.filter(dated, lambda o: o["day"] == day)
-        times = F.array_distinct(F.filter(F.transform(inside, lambda o: o["time"]), lambda t: t.isNotNull()))
-        label = F.get(inside, F.lit(0))["label"]
-        return F.when(F.size(times) > 0, F.concat(label, F.lit(": "), F.array_join(times, ", "))).otherwise(label)
-    return F.array_join(F.transform(days, group), "; ")
+    def put(dated: Column) -> Column:
+        def group(day: Column) -> Column:
+            inside = F.filter(dated, lambda p: p["day"] == day)
+            times = F.transform(inside, lambda p: F.when(p["one_day"], _span(p)).otherwise(p["start"]))
+            listed = F.array_distinct(F.filter(times, lambda t: t.isNotNull()))
+            label = F.get(inside, F.lit(0))["start_day"]
+            return let(listed, lambda t: F.when(F.size(t) > 0, F.concat(label, F.lit(": "), F.array_join(t, ", "))).otherwise(label))
+        return F.array_join(F.transform(F.array_distinct(F.transform(dated, lambda p: p["day"])), group), "; ")
+    return let(F.transform(occurrences, _label_parts), put)
 
 
 def occurrence_label(occurrences: Column) -> Column:

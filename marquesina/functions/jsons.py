@@ -38,15 +38,24 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def strict_json(text: Column) -> Column:
+    """Variant of text that is one JSON value and nothing else, null otherwise.
+
+    The parser alone would ignore text after the first value.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.size(wrapped.cast("array<variant>")) == 1, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def json_container(text: Column) -> Column:
     """Variant of a JSON object or array; scalars and broken text are null (K1)."""
-    v = F.try_parse_json(text)
+    v = strict_json(text)
     return F.when(_kind(v).rlike("^(ARRAY|OBJECT)"), v)
 
 
 def json_elements(text: Column) -> Column:
     """Array of variants, null unless the text is a JSON array."""
-    v = F.try_parse_json(text)
+    v = strict_json(text)
     return F.when(_kind(v).startswith("ARRAY"), v).cast("array<variant>")
 
 
@@ -78,14 +87,14 @@ def parse_occurrences(text: Column, today: Column, days: int = FUTURE_DAYS) -> C
 
 def response_events(text: Column) -> Column:
     """Event variants of ``{"events": [...]}`` or a bare array, else an empty array (K3)."""
-    v = F.try_parse_json(text)
+    v = strict_json(text)
     inner = F.try_variant_get(v, "$.events", "variant")
     chosen = F.when(_kind(v).startswith("ARRAY"), v).when(_kind(inner).startswith("ARRAY"), inner)
     return F.coalesce(chosen.cast("array<variant>"), F.array().cast("array<variant>"))
 
 
 def is_valid_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    return strict_json(text).isNotNull()
 
 
 def occurrence_total(events: Column) -> Column:

@@ -12,6 +12,11 @@ SPACE = r"[\s\x{1c}-\x{1f}]"
 NON_WORD = r"(?U)[^\p{L}\p{N}_\s\x{1c}-\x{1f}]"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; keeps deep expressions from repeating it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")

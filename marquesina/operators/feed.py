@@ -130,23 +130,21 @@ def existing_upcoming(events: DataFrame, occurrences: DataFrame, urls: DataFrame
     """
     live = active(events).filter("status = 'active'")
     upcoming = occurrences.filter(F.col("start_date") >= today)
+    first = upcoming.groupBy("event_id").agg(F.min("start_date").alias("first_date"))
     item = F.to_json(F.struct(*OCCURRENCE_ORDER))
-    occ = upcoming.groupBy("event_id").agg(
-        F.min("start_date").alias("first_date"),
-        F.listagg(item, F.lit(",")).withinGroup(F.col("start_date"), item).alias("occurrences_json")
-        if hasattr(Column, "withinGroup") else F.array_join(F.sort_array(F.collect_list(item)), ",").alias("occurrences_json"),
-    )
-    distinct_text = lambda df, c, n: df.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(n))
+    lists = _nested([
+        bounded_lists(upcoming, ["event_id"], F.struct("start_date", item.alias("json")), "occurrences"),
+        bounded_lists(urls.distinct(), ["event_id"], F.col("url"), "urls"),
+        bounded_lists(tags.distinct(), ["event_id"], F.col("tag"), "tags"),
+    ], "event_id")
     venue = locations.select(F.col("id").alias("location_id"), F.col("name").alias("location"))
-    rows = (
-        live.withColumnRenamed("id", "event_id").join(occ, "event_id")
-        .join(distinct_text(urls, "url", "urls"), "event_id", "left")
-        .join(distinct_text(tags, "tag", "tags"), "event_id", "left")
-        .join(venue, "location_id", "left")
-    )
+    rows = live.withColumnRenamed("id", "event_id").join(first, "event_id").join(lists, "event_id").join(venue, "location_id", "left")
     pairs = links.select("source_id", "event_id").distinct()
     return pairs.join(rows, "event_id").select(
-        "source_id", "event_id", "name", "description", "location", "sublocation", "first_date", "occurrences_json", "urls", "tags", "emoji")
+        "source_id", "event_id", "part", "name", "description", "location", "sublocation", "first_date",
+        F.array_join(F.transform("occurrences", lambda o: o["json"]), ",").alias("occurrences_json"),
+        F.array_join("urls", ",").alias("urls"), F.array_join("tags", ",").alias("tags"), "emoji",
+    )
 
 
 def marker_features(locations: DataFrame, location_keys: DataFrame, colours: DataFrame) -> DataFrame:

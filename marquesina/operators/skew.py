@@ -99,3 +99,9 @@ def bounded_lists(df: DataFrame, keys: list[str], item: Column, name: str, limit
     salt = F.xxhash64("_item", F.monotonically_increasing_id())
     part = F.coalesce(F.pmod(salt, F.ceil(F.col("count") / limit)), F.lit(0)).cast("int")
     return split.groupBy(*keys, part.alias("part")).agg(F.sort_array(F.collect_list("_item")).alias(name))
+
+
+def ordered_parts(df: DataFrame, keys: list[str], block: Column, order: list[str], weight: Column, limit: int) -> DataFrame:
+    """Number consecutive runs of rows per key so that no run weighs much more than ``limit``."""
+    placed = running_total(df, keys, block, order, {"_before": weight}, inclusive=False)
+    return placed.withColumn("part", F.floor(F.col("_before") / limit).cast("int")).drop("_before")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["crawl","listings"]
+AREAS = ["content"]
 
 
 def load_all() -> None:

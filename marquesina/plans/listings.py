@@ -54,8 +54,8 @@ FROM {ev} WHERE deleted_at IS NULL AND name ILIKE '%show 3%' ORDER BY created_at
 def _(b):
     found = D.search_name(D.active(b.ev), "show 3")
     total = found.agg(F.count("*").alias("total"))
-    page = found.orderBy(F.col("created_at").desc_nulls_first(), "id").offset(50).limit(50).select("id", "name")
-    return page.join(F.broadcast(total))  # a single counted row
+    page = found.orderBy(F.col("created_at").desc_nulls_first(), "id").offset(50).limit(50)
+    return page.select("id", "name", total.scalar().alias("total"))
 
 
 @query("b11_name_search", "SELECT id, name, type FROM {loc} WHERE name ILIKE '%hall nation_1%' AND deleted_at IS NULL")
