@@ -15,7 +15,7 @@ RECENT_DAYS = 10
 GRACE_DAYS = 14
 NIGHT_CUTOFF_HOUR = 5
 EVENT_ZONE = "America/Caracas"
-EVENT_OFFSET = "-04:00"
+OFFSET_HOURS = -4
 
 
 def parse_date(text: Column) -> Column:
@@ -31,28 +31,25 @@ def parse_time_text(text: Column) -> Column:
 
 def clock(text: Column) -> Column:
     """Struct of hours and minutes from free text, noon when there is none to read (I4)."""
-    def read(low: Column) -> Column:
-        shape = r"^\s*(\d+)\s*(?::\s*(\d*)\s*(?::.*)?)?$"
-        bare = F.regexp_replace(low, "am|pm", "")
-        half = F.when(F.contains(low, F.lit("pm")), "pm").when(F.contains(low, F.lit("am")), "am")
-        parts = F.struct(
-            F.regexp_extract(bare, shape, 1).try_cast("int").alias("h"),
-            F.coalesce(F.regexp_extract(bare, shape, 2).try_cast("int"), F.lit(0)).alias("m"), half.alias("half"))
-        return let(parts, turn)
-    def turn(p: Column) -> Column:
-        hour = F.when((p["half"] == "pm") & (p["h"] < 12), p["h"] + 12).when((p["half"] == "am") & (p["h"] == 12), 0).otherwise(p["h"])
-        return F.struct(F.coalesce(hour, F.lit(12)).alias("hours"), F.when(p["h"].isNotNull(), p["m"]).otherwise(0).alias("minutes"))
-    return let(F.lower(F.coalesce(text, F.lit(""))), read)
+    low = F.lower(text)
+    bare = F.regexp_replace(low, "am|pm", "")
+    shape = r"^\s*(\d+)\s*(?::\s*(\d*)\s*(?::.*)?)?$"
+    hour = F.regexp_extract(bare, shape, 1).try_cast("int")
+    minute = F.regexp_extract(bare, shape, 2).try_cast("int")
+    shift = F.when(F.contains(low, F.lit("pm")), F.when(hour < 12, 12).otherwise(0)).when(
+        F.contains(low, F.lit("am")) & (hour == 12), -12).otherwise(0)
+    return F.struct(
+        F.coalesce(hour + shift, F.lit(12)).alias("hours"),
+        F.when(hour.isNull(), 0).otherwise(F.coalesce(minute, F.lit(0))).alias("minutes"))
 
 
 def event_instant(date_text: Column, time_text: Column) -> Column:
     """Instant of a listed date and time in the fixed offset of the events."""
-    def at(c: Column) -> Column:
-        two = lambda n: F.lpad(n.cast("string"), 2, "0")
-        iso = F.concat(date_text, F.lit("T"), two(c["hours"]), F.lit(":"), two(c["minutes"]), F.lit(":00" + EVENT_OFFSET))
-        valid = date_text.rlike(r"^\d{4}-\d{2}-\d{2}$") & (c["hours"] < 24) & (c["minutes"] < 60)
-        return F.try_to_timestamp(F.when(valid, iso), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    return let(clock(time_text), at)
+    day = F.unix_date(F.when(date_text.rlike(r"^\d{4}-\d{2}-\d{2}$"), date_text).try_cast("date"))
+    at = clock(time_text)
+    hours, minutes = at["hours"], at["minutes"]
+    valid = F.when((hours < 24) & (minutes < 60), hours * 3600 + minutes * 60)
+    return F.timestamp_seconds(day.cast("long") * 86400 - OFFSET_HOURS * 3600 + valid)
 
 
 def parse_listed_occurrences(raw: Column) -> Column:

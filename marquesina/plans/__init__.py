@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["content"]
+AREAS = ["rules","browse","matching"]
 
 
 def load_all() -> None:

@@ -95,6 +95,18 @@ VIEWS = {
         SELECT l_orderkey AS event_id, lower(p_type) AS tag FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
         UNION
         SELECT l_orderkey, p_brand FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    "place": """
+        SELECT CAST(lat AS STRING) || ',' || CAST(lng AS STRING) AS location_key, MIN(id) AS id
+        FROM {loc} WHERE lat IS NOT NULL AND lng IS NOT NULL GROUP BY CAST(lat AS STRING) || ',' || CAST(lng AS STRING)""",
+    "fev": """
+        SELECT e.id AS event_id, e.name, e.short_name, e.description, e.sublocation, e.emoji, e.location_id, l.name AS location,
+               l.lat, l.lng, CAST(l.lat AS STRING) || ',' || CAST(l.lng AS STRING) AS location_key, CAST(e.created_at AS DATE) AS day
+        FROM {ev} e JOIN {loc} l ON l.id = e.location_id
+        WHERE e.deleted_at IS NULL AND e.status = 'active' AND l.lat IS NOT NULL AND l.lng IS NOT NULL""",
+    "fev_tag": "SELECT t.tag, e.event_id, e.location_key FROM {ev_tag} t JOIN {fev} e ON e.event_id = t.event_id",
+    "place_tag": "SELECT t.tag, p.location_key, p.id FROM {loc_tag} t JOIN {place} p ON p.id = t.location_id",
+    "edge": """
+        SELECT lower(p_type) AS tag, p_brand AS related, CAST(MAX(p_size) AS DOUBLE) / 100 AS weight FROM {part} GROUP BY lower(p_type), p_brand""",
     "res": """
         SELECT d.doc_id AS id, CAST(FLOOR(d.doc_id / 20) AS BIGINT) AS crawl_job_id,
                CAST(substring(d.source, 4) AS BIGINT) AS source_id,
