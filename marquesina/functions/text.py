@@ -110,10 +110,15 @@ def unaccent_nfkd(c: Column) -> Column:
     return _decompose(c, "NFKD", "combining")
 
 
+def normalize_folded(c: Column) -> Column:
+    """The part of :func:`normalize_name` that follows the removal of accents."""
+    plain = F.lower(strip(F.replace(c, F.lit("_"), F.lit(""))))
+    return collapse(F.regexp_replace(plain, NON_WORD, " "))
+
+
 def normalize_name(c: Column) -> Column:
     """Lower-case, accent-free, punctuation as spaces, white space collapsed (H1)."""
-    plain = F.lower(strip(F.replace(unaccent_nfkd(c), F.lit("_"), F.lit(""))))
-    return collapse(F.regexp_replace(plain, NON_WORD, " "))
+    return normalize_folded(unaccent_nfkd(c))
 
 
 def normalize_for_search(c: Column) -> Column:

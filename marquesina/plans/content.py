@@ -9,7 +9,9 @@ from marquesina.operators import content as C, skew
 from marquesina.plans.bindings import DOCUMENTS_DAY
 from marquesina.plans.registry import query
 
-TODAY = F.lit(DOCUMENTS_DAY).cast("date")
+def today():
+    return F.lit(DOCUMENTS_DAY).cast("date")
+
 DAY = f"DATE '{DOCUMENTS_DAY}'"
 NL = "chr(10)"
 
@@ -155,7 +157,7 @@ def _(b):
 SELECT doc_id AS id, concat_ws(';', CASE WHEN first_day BETWEEN {DAY} AND {DAY} + 90 THEN CAST(first_day AS STRING) || ' 7:30 PM' END,
   CASE WHEN first_day + 7 BETWEEN {DAY} AND {DAY} + 90 THEN CAST(first_day + 7 AS STRING) END) AS kept FROM {{doc_row}}""")
 def _(b):
-    kept = J.parse_occurrences(F.col("occurrences"), TODAY)
+    kept = J.parse_occurrences(F.col("occurrences"), today())
     return b.xev.select("id", F.array_join(F.transform(kept, lambda o: F.concat_ws(" ", o["start_date"].cast("string"), o["start_time"], o["end_date"].cast("string"), o["end_time"])), ";").alias("kept"))
 
 
@@ -228,7 +230,7 @@ SELECT r.id, r.source_id, s.name, c.notes, CASE WHEN starts_with(t.crawled_conte
 FROM {res} r JOIN {content} t ON t.crawl_result_id = r.id LEFT JOIN {src} s ON s.id = r.source_id LEFT JOIN {cfg} c ON c.source_id = r.source_id
 LEFT JOIN (SELECT source_id, COUNT(*) AS n FROM {gold} WHERE status = 'active' GROUP BY 1) k ON k.source_id = r.source_id WHERE LENGTH(t.crawled_content) >= 500""")
 def _(b):
-    p = C.prompt_inputs(b.content, b.res, b.src, b.cfg, b.gold.filter("status = 'active'"), TODAY)
+    p = C.prompt_inputs(b.content, b.res, b.src, b.cfg, b.gold.filter("status = 'active'"), today())
     return p.select("id", "source_id", "name", "notes", "url", F.length("page_text").cast("long").alias("size"), "known_events")
 
 

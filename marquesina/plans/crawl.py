@@ -10,11 +10,13 @@ from marquesina.operators import crawl as C, dashboards as B, lifecycle as L
 from marquesina.plans.bindings import LOG_NOW, SOURCES_NOW
 from marquesina.plans.registry import query
 
-NOW = F.lit(SOURCES_NOW).cast("timestamp_ntz")
+def now():
+    return F.lit(SOURCES_NOW).cast("timestamp_ntz")
+
 
 
 def _due(b, **how):
-    return C.due_sources(b.src, b.cfg, b.src_url, NOW, **how)
+    return C.due_sources(b.src, b.cfg, b.src_url, now(), **how)
 
 
 def _flat(due):
@@ -126,7 +128,7 @@ SELECT c.source_id, CASE WHEN r.source_id IS NULL THEN CAST(c.last_crawled_at AS
        c.force_crawl AND r.source_id IS NULL AS force_crawl
 FROM {cfg} c LEFT JOIN (SELECT DISTINCT source_id FROM {res} WHERE status = 'processed') r ON r.source_id = c.source_id""")
 def _(b):
-    return C.mark_crawled(b.cfg, b.res.filter("status = 'processed'"), NOW).select(
+    return C.mark_crawled(b.cfg, b.res.filter("status = 'processed'"), now()).select(
         "source_id", F.to_date("last_crawled_at").alias("last_crawled"), "force_crawl")
 
 
@@ -200,7 +202,9 @@ def _(b):
 
 # Usage records and the log live in the event table: one record per row.
 
-LOG_NOW_TS = F.lit(LOG_NOW).cast("timestamp_ntz")
+def log_now():
+    return F.lit(LOG_NOW).cast("timestamp_ntz")
+
 
 
 @query("b15_active_and_stuck_jobs", """
@@ -208,9 +212,9 @@ SELECT COUNT(CASE WHEN created_at >= TIMESTAMP '2024-01-25 08:30:00' THEN 1 END)
        COUNT(CASE WHEN created_at < TIMESTAMP '2024-01-25 08:30:00' THEN 1 END) AS stuck
 FROM {usage} WHERE provider = 'view' AND created_at <= TIMESTAMP '2024-01-25 10:30:00'""")
 def _(b):
-    jobs = b.usage.filter(F.col("created_at") <= LOG_NOW_TS).select(
+    jobs = b.usage.filter(F.col("created_at") <= log_now()).select(
         F.when(F.col("provider") == "view", "running").otherwise("completed").alias("status"), F.col("created_at").alias("started_at"))
-    return B.job_split(jobs, LOG_NOW_TS)
+    return B.job_split(jobs, log_now())
 
 
 @query("b19_failed_results", """
@@ -237,7 +241,7 @@ SELECT COUNT(*) AS api_calls, COALESCE(SUM(input_tokens), 0) AS input_tokens, CO
        CAST(ROUND(CAST(COALESCE(SUM(input_tokens), 0) + 4 * COALESCE(SUM(output_tokens), 0) AS DECIMAL(24,0)) * 0.0000001, 6) AS DOUBLE) AS cost
 FROM {usage} WHERE created_at >= TIMESTAMP '2024-01-25 00:00:00'""")
 def _(b):
-    return B.usage_since(b.usage, F.date_trunc("day", LOG_NOW_TS))
+    return B.usage_since(b.usage, F.date_trunc("day", log_now()))
 
 
 @query("d5_hourly_cost", """
@@ -246,7 +250,7 @@ u AS (SELECT date_trunc('hour', created_at) AS hour, SUM(input_tokens) AS tokens
       WHERE created_at >= TIMESTAMP '2024-01-24 10:30:00' GROUP BY 1)
 SELECT CAST(h.bucket AS INT) AS bucket, COALESCE(u.tokens, 0) AS tokens, COALESCE(u.calls, 0) AS calls FROM h LEFT JOIN u ON u.hour = h.hour""")
 def _(b):
-    return B.hourly_series(b.usage, "created_at", LOG_NOW_TS, {"tokens": F.sum("input_tokens"), "calls": F.count("*")})
+    return B.hourly_series(b.usage, "created_at", log_now(), {"tokens": F.sum("input_tokens"), "calls": F.count("*")})
 
 
 @query("d10_k6_usage_by_job", """
@@ -286,7 +290,7 @@ SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(CAST(F
   WHEN s < 604800 THEN CAST(CAST(FLOOR(s / 86400) AS BIGINT) AS STRING) || 'd ago' ELSE strftime(ts, '%b %d') END AS label
 FROM (SELECT event_id, ts, date_diff('microsecond', ts, TIMESTAMP '2024-01-25 10:30:00') / 1000000 AS s FROM {events})""")
 def _(b):
-    return b.events.select("event_id", T.relative_time(F.col("ts"), LOG_NOW_TS).alias("label"))
+    return b.events.select("event_id", T.relative_time(F.col("ts"), log_now()).alias("label"))
 
 
 @query("i12_elapsed_and_local_time", """

@@ -10,7 +10,9 @@ from marquesina.operators.dashboards import count_since
 from marquesina.plans.bindings import ORDERS_DAY
 from marquesina.plans.registry import query
 
-TODAY = F.lit(ORDERS_DAY).cast("date")
+def today():
+    return F.lit(ORDERS_DAY).cast("date")
+
 DAY = f"DATE '{ORDERS_DAY}'"
 
 
@@ -34,7 +36,7 @@ FROM {{ev}} e LEFT JOIN (SELECT event_id, MIN(start_date) AS next_date FROM {{oc
 LEFT JOIN {{loc}} l ON l.id = e.location_id WHERE e.deleted_at IS NULL
 ORDER BY n.next_date ASC NULLS LAST, e.name, e.id LIMIT 50""")
 def _(b):
-    return D.listing_page(D.listing_filter(b.ev, b.occ, TODAY), b.occ, b.loc, TODAY)
+    return D.listing_page(D.listing_filter(b.ev, b.occ, today()), b.occ, b.loc, today())
 
 
 @query("b1_live_events", "SELECT id, name, status FROM {ev} WHERE deleted_at IS NULL")
@@ -45,7 +47,7 @@ def _(b):
 @query("b2_filtered_listing_count", f"""
 SELECT COUNT(*) AS total FROM {{ev}} WHERE deleted_at IS NULL AND status = 'active' AND id IN (SELECT event_id FROM {{occ}} WHERE start_date >= {DAY})""")
 def _(b):
-    return D.listing_filter(b.ev, b.occ, TODAY, upcoming=True, status="active").agg(F.count("*").alias("total"))
+    return D.listing_filter(b.ev, b.occ, today(), upcoming=True, status="active").agg(F.count("*").alias("total"))
 
 
 @query("d1_second_page_with_total", """
@@ -84,7 +86,7 @@ FROM {{ev}} e JOIN {{occ}} o ON o.event_id = e.id WHERE e.status = 'active' AND
 AND o.start_date BETWEEN {DAY} - 10 AND {DAY} + 90 GROUP BY 1, 2, 3""")
 def _(b):
     from marquesina.operators.matching import candidate_index
-    idx = candidate_index(b.ev, b.occ, b.loc, b.ev_src, TODAY)
+    idx = candidate_index(b.ev, b.occ, b.loc, b.ev_src, today())
     dates = idx.dates.groupBy("event_id").agg(F.count("*").alias("n_dates"), F.min("day").alias("first_date"), F.max("day").alias("last_date"))
     return idx.events.join(dates, "event_id").select(F.col("event_id").alias("id"), "name", "location_id", "n_dates", "first_date", "last_date")
 
@@ -98,7 +100,7 @@ def _(b):
 @query("c5_events_in_window", f"""
 SELECT id, name FROM {{ev}} WHERE id IN (SELECT event_id FROM {{occ}} WHERE start_date BETWEEN {DAY} AND {DAY} + 90)""")
 def _(b):
-    return b.ev.join(D.upcoming_ids(b.occ, TODAY, 90), "id", "left_semi").select("id", "name")
+    return b.ev.join(D.upcoming_ids(b.occ, today(), 90), "id", "left_semi").select("id", "name")
 
 
 @query("c8_sources_with_counts", """
@@ -148,7 +150,7 @@ LEFT JOIN (SELECT event_id, STRING_AGG(tag, '|' ORDER BY tag) AS t FROM {{ev_tag
 LEFT JOIN {{loc}} l ON l.id = e.location_id
 WHERE e.status = 'active' AND e.deleted_at IS NULL AND e.id IN (SELECT event_id FROM {{occ}} WHERE start_date BETWEEN {DAY} AND {DAY} + 90)""")
 def _(b):
-    f = D.feed_events(b.ev, b.occ, b.ev_url, b.ev_tag, b.loc, TODAY)
+    f = D.feed_events(b.ev, b.occ, b.ev_url, b.ev_tag, b.loc, today())
     return f.select("id", "name", "short_name", "emoji", "sublocation", "location", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"),
                     occurrence_text(F.col("occurrences")).alias("occurrences"), text_list("urls").alias("urls"), text_list("tags").alias("tags"))
 
@@ -169,7 +171,7 @@ SELECT DISTINCT k.source_id, e.id AS event_id, e.name, l.name AS location, o.fir
 FROM {{ev_src}} k JOIN {{ev}} e ON e.id = k.event_id JOIN o ON o.event_id = e.id LEFT JOIN {{loc}} l ON l.id = e.location_id
 WHERE e.status = 'active' AND e.deleted_at IS NULL""")
 def _(b):
-    x = D.existing_upcoming(b.ev, b.occ, b.ev_url, b.ev_tag, b.ev_src, b.loc, TODAY)
+    x = D.existing_upcoming(b.ev, b.occ, b.ev_url, b.ev_tag, b.ev_src, b.loc, today())
     n = F.regexp_count("occurrences_json", F.lit('"start_date"')).cast("long").alias("n_occurrences")
     return x.select("source_id", "event_id", "name", "location", "first_date", n, "urls", "tags")
 
@@ -191,7 +193,7 @@ def _(b):
 
 @query("d6_next_date", f"SELECT event_id, MIN(start_date) AS next_date FROM {{occ}} WHERE start_date >= {DAY} GROUP BY event_id")
 def _(b):
-    return D.next_dates(b.occ, TODAY)
+    return D.next_dates(b.occ, today())
 
 
 @query("d8_duplicate_groups", """

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquesina.functions.names import false_positive, name_features, similar
+from marquesina.functions.names import add_name_features, false_positive
 from marquesina.operators import matching as M
 from marquesina.plans.bindings import DOCUMENTS_DAY
 from marquesina.plans.registry import query
 
-TODAY = F.lit(DOCUMENTS_DAY).cast("date")
+def today():
+    return F.lit(DOCUMENTS_DAY).cast("date")
+
 DAY = f"DATE '{DOCUMENTS_DAY}'"
 
 
@@ -23,12 +25,12 @@ def golden(b):
 
 def index_of(b):
     events, days, links = golden(b)
-    return M.candidate_index(events, days, b.loc, links, TODAY)
+    return M.candidate_index(events, days, b.loc, links, today())
 
 
 def new_rows(b):
     """Unlabelled documents as rows to match, one line per valid day."""
-    days = F.filter(F.array("first_day", F.date_add("first_day", 7)), lambda d: d.between(TODAY, F.date_add(TODAY, 90)))
+    days = F.filter(F.array("first_day", F.date_add("first_day", 7)), lambda d: d.between(today(), F.date_add(today(), 90)))
     rows = b.new_xev.filter("location_id IS NOT NULL AND name <> ''").select("id", "name", "location_id", "source_id", F.explode(days).alias("day"))
     return M.with_place(rows, b.loc)
 
@@ -102,7 +104,7 @@ def _(b):
 SELECT a.name, b.name AS other FROM feat a JOIN feat b ON a.norm[1:6] = b.norm[1:6] AND a.name < b.name WHERE {FALSE_POSITIVE}""")
 def _(b):
     low = b.ev.select(F.lower("name").alias("name")).union(b.ev.select(F.concat(F.lit("jazz "), "name", F.lit(" set "), (F.col("id") % 4).cast("string")))).distinct()
-    f = low.select("name", name_features(F.col("name")).alias("f")).withColumn("head", F.substring("f.norm", 1, 6))
+    f = add_name_features(low).withColumn("head", F.substring("f.norm", 1, 6))
     g = f.select(F.col("name").alias("other"), F.col("f").alias("g"), "head")
     return f.join(g, "head").filter((F.col("name") < F.col("other")) & false_positive(F.col("f"), F.col("g"))).select("name", "other")
 
