@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["rules","browse","matching"]
+AREAS = ["matching","lifecycle"]
 
 
 def load_all() -> None:

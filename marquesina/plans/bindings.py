@@ -107,6 +107,18 @@ VIEWS = {
     "place_tag": "SELECT t.tag, p.location_key, p.id FROM {loc_tag} t JOIN {place} p ON p.id = t.location_id",
     "edge": """
         SELECT lower(p_type) AS tag, p_brand AS related, CAST(MAX(p_size) AS DOUBLE) / 100 AS weight FROM {part} GROUP BY lower(p_type), p_brand""",
+    "ask": """
+        SELECT o.o_orderkey AS id,
+               CASE o.o_orderkey % 6 WHEN 0 THEN lower(l.name) WHEN 1 THEN '  ' || l.name || '!' WHEN 2 THEN c.c_name
+                    WHEN 3 THEN replace(l.name, 'Hall', 'Hal') WHEN 4 THEN 'Open Air Place ' || CAST(o.o_custkey % 90 AS STRING) END AS location_name,
+               CASE o.o_orderkey % 4 WHEN 0 THEN l.address WHEN 1 THEN 'Room 1' END AS sublocation,
+               'Site ' || CAST(o.o_custkey % 5 AS STRING) AS site_name,
+               CASE WHEN o.o_orderkey % 12 = 4 THEN l.name ELSE 'Show' END AS event_name
+        FROM {orders} o JOIN {loc} l ON l.id = o.o_custkey JOIN {customer} c ON c.c_custkey = o.o_custkey""",
+    "verdict": """
+        SELECT doc_id AS id, source_id, CASE WHEN location_id IS NULL THEN 'skipped_no_location' WHEN n_chars % 3 = 0 THEN 'created' ELSE 'merged' END AS status,
+               CASE WHEN location_id IS NULL THEN NULL WHEN n_chars % 3 = 0 THEN doc_id + 1000000 ELSE n_chars % 100 END AS event_id
+        FROM {doc_row}""",
     "res": """
         SELECT d.doc_id AS id, CAST(FLOOR(d.doc_id / 20) AS BIGINT) AS crawl_job_id,
                CAST(substring(d.source, 4) AS BIGINT) AS source_id,
