@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching","lifecycle"]
+AREAS = ["crawl", "listings", "content", "rules", "browse", "matching", "lifecycle", "streams"]
 
 
 def load_all() -> None:
