@@ -17,6 +17,8 @@ from marquesina.session import materialize
 LOGIN, REGISTER, ADMIN, FEED = (5, 60), (3, 3600), (5, 60), (60, 60)
 
 MICROS = 1_000_000
+# Windows per block of time: more means fewer, larger tasks.
+BLOCK_WINDOWS = 16
 
 
 def _window_starts(at: np.ndarray, width: int, first: int) -> list[int]:
@@ -43,7 +45,7 @@ def _block_exits(width: int):
         for i in range(n - 1, -1, -1):
             if nxt[i] < n:
                 last[i] = last[nxt[i]]
-        start = int(pdf["block"].iloc[0]) * 2 * width
+        start = int(pdf["block"].iloc[0]) * BLOCK_WINDOWS * width
         reach = min(int(np.searchsorted(at, start + width, side="left")), n - 1)
         rows, lo = [], -(1 << 62)
         for i in range(reach + 1):
@@ -94,14 +96,14 @@ def rate_limited(requests: DataFrame, limit: tuple[int, int]) -> DataFrame:
     """Each request's place in its window and whether it is refused.
 
     A window opens at the first request after the one before has ended, so it is not an aligned time
-    window. ``requests``: key, seq, at (timestamp). Time is cut into blocks of two windows; blocks are
+    window. ``requests``: key, seq, at (timestamp). Time is cut into blocks of a few windows; blocks are
     worked alone, and per key only the block summaries are walked in order, so a key with most of the
     traffic is spread over as many tasks as it has blocks.
     """
     allowed, seconds = limit
     width = seconds * MICROS
     timed = requests.select("key", "seq", F.unix_micros(F.col("at").cast("timestamp")).alias("at")).withColumn(
-        "block", F.floor(F.col("at") / (2 * width)))
+        "block", F.floor(F.col("at") / (BLOCK_WINDOWS * width)))
     exits = timed.select("key", "block", "at").groupBy("key", "block").applyInPandas(
         _block_exits(width), "key string, block long, lo long, hi long, out long, held long")
     carried = exits.groupBy("key").applyInPandas(_carry, "key string, block long, open_until long, open_held long")
