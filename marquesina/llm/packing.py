@@ -105,20 +105,20 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return map_texts(docs, ["doc_id", "text"], make, schema)
 
 
-def _fill(gap: int, top: int, counts: np.ndarray) -> tuple[int, ...] | None:
-    """Available lengths, at most ``top``, that exactly fill ``gap``: one, else two, else three, largest first."""
+def _fill(gap: int, top: int, counts: np.ndarray, most: int) -> tuple[int, ...] | None:
+    """Up to ``most`` available lengths, none above ``top``, that exactly fill ``gap``: fewest first, then largest first."""
     if gap <= top and counts[gap]:
         return (gap,)
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        a = np.arange(min(most, total - 1), (total + 1) // 2 - 1, -1)
+    def pair(total: int, limit: int) -> tuple[int, int] | None:
+        a = np.arange(min(limit, total - 1), (total + 1) // 2 - 1, -1)
         b = total - a
         ok = (counts[a] > 0) & (counts[b] > (a == b))
         return (int(a[np.argmax(ok)]), int(b[np.argmax(ok)])) if ok.any() else None
 
-    if gap >= 2 and (two := pair(gap, top)):
+    if most >= 2 and gap >= 2 and (two := pair(gap, top)):
         return two
-    for a in range(min(top, gap - 2), (gap + 2) // 3 - 1, -1):
+    for a in range(min(top, gap - 2), (gap + 2) // 3 - 1, -1) if most >= 3 else ():
         if counts[a]:
             counts[a] -= 1
             two = pair(gap - a, a)
@@ -129,11 +129,21 @@ def _fill(gap: int, top: int, counts: np.ndarray) -> tuple[int, ...] | None:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns ``(sequences, lengths)`` that use up the histogram.
+    """Patterns ``(sequences, lengths)`` that use up the histogram, the shortest of a few plans.
 
-    Every pattern exhausts a length or closes a class of open sequences, so their number is bounded by the
-    number of lengths, not of pieces.
+    Exact complements are consumed for singles, then pairs, then triples, meeting the widest gaps or the
+    narrowest first; which of these is best depends on how many short pieces there are, and trying all
+    costs milliseconds on a histogram. Every pattern exhausts a length or closes a class of open sequences,
+    so their number is bounded by the number of lengths, not of pieces.
     """
+    half = capacity // 2
+    wide = [*range(half + 1, capacity), *range(half, 0, -1)]
+    narrow = list(range(capacity - 1, 0, -1))
+    plans = [_plan(histogram, capacity, order, most) for order in (wide, narrow) for most in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(n for n, _ in p))
+
+
+def _plan(histogram: dict[int, int], capacity: int, order: list[int], most: int) -> list[tuple[int, tuple[int, ...]]]:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -141,18 +151,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     if counts[capacity]:
         out.append((int(counts[capacity]), (capacity,)))
         counts[capacity] = 0
-    for length in range(capacity - 1, 0, -1):
-        while counts[length]:
-            counts[length] -= 1
-            rest = _fill(capacity - length, min(length, capacity - length), counts)
-            counts[length] += 1
-            if rest is None:
-                break
-            use = {x: (length, *rest).count(x) for x in {length, *rest}}
-            times = min(int(counts[x]) // k for x, k in use.items())
-            for x, k in use.items():
-                counts[x] -= k * times
-            out.append((times, (length, *rest)))
+    for size in range(1, most + 1):
+        for length in order:
+            while counts[length]:
+                counts[length] -= 1
+                rest = _fill(capacity - length, min(length, capacity - length), counts, size)
+                counts[length] += 1
+                if rest is None:
+                    break
+                use = {x: (length, *rest).count(x) for x in {length, *rest}}
+                times = min(int(counts[x]) // k for x, k in use.items())
+                for x, k in use.items():
+                    counts[x] -= k * times
+                out.append((times, (length, *rest)))
     open_: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     for length in range(capacity, 0, -1):
         while counts[length]:
