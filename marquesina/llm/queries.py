@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquesina.llm import decontaminate, packing, quality, simhash, toxicity
+from marquesina.llm import decontaminate, language, packing, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
     "op2_toxicity_scores": toxicity.op2_toxicity_scores,
     "op3_packed_sequences": packing.op3_packed_sequences,
     "op4_quality_ledger": quality.op4_quality_ledger,
+    "op5_repeated_passages": substrings.op5_repeated_passages,
+    "op6_language_scores": language.op6_language_scores,
     "op10_simhash_groups": simhash.op10_simhash_groups,
 }
 
