@@ -1,7 +1,7 @@
 """Substring dedup by hashing lines and the parts of lines.
 
-A text is cut into units: lines, and within a line the runs of words between anchor words, which a hash
-of the word itself selects. A passage is therefore cut alike wherever it stands, on lines of its own or
+A text is cut into units: lines, and within a line the runs of words between anchors, which a hash of a
+word and the one before it selects. A passage is therefore cut alike wherever it stands, on lines of its own or
 inside another line. Units are normalised (letters lower-cased, punctuation at word ends dropped, white
 space ignored) and their digests grouped over the corpus; the occurrence in the smallest document id,
 there the first, is kept. A later stretch of units that all occur earlier, most of them in one document,
@@ -53,7 +53,8 @@ class Units:
             self.digest, self.words, self.start, self.end = words, *(np.zeros(0, np.int64) for _ in range(3))
             return
         breaks = np.cumsum(raw == 10)
-        last = (words >> np.uint64(7)) % np.uint64(ANCHOR) == 0
+        pairs = (np.concatenate([words[:1], words[:-1]]) * MIX + words) * MIX
+        last = (pairs >> np.uint64(40)) % np.uint64(ANCHOR) == 0
         last[:-1] |= breaks[starts[1:]] > breaks[ends[:-1] - 1]
         last[-1] = True
         close = np.flatnonzero(last)
