@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquesina.llm import decontaminate, language, packing, quality, simhash, substrings, toxicity
+from marquesina.llm import decontaminate, language, lines, packing, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_ledger": quality.op4_quality_ledger,
     "op5_repeated_passages": substrings.op5_repeated_passages,
     "op6_language_scores": language.op6_language_scores,
+    "op7_repeated_lines": lines.op7_repeated_lines,
     "op10_simhash_groups": simhash.op10_simhash_groups,
 }
 
