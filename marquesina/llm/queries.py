@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquesina.llm import decontaminate, language, lines, packing, private, quality, simhash, substrings, toxicity
+from marquesina.llm import decontaminate, html, language, lines, packing, private, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_scores": language.op6_language_scores,
     "op7_repeated_lines": lines.op7_repeated_lines,
     "op8_private_data": private.op8_private_data,
+    "op9_main_text": html.op9_main_text,
     "op10_simhash_groups": simhash.op10_simhash_groups,
 }
 
