@@ -59,23 +59,20 @@ def proximity_bonus(distance: Column, bonus: float = PROXIMITY_BONUS, reach: flo
     return F.greatest(F.lit(0.0), F.lit(float(bonus)) * (1 - distance / F.lit(float(reach))))
 
 
-def weighted_tag_score(tags: Column, weights: dict[str, float]) -> Column:
-    """Sum of the weights of matched tags, only with two or more selected."""
+def tag_weight(tag: Column, weights: dict[str, float]) -> Column:
+    """What one matched tag adds to a score, only with two or more selected."""
     if len(weights) < 2:
         return F.lit(0.0)
-    table = F.create_map(*[F.lit(x) for tag, w in weights.items() for x in (tag, float(w))])
-    return F.aggregate(
-        F.array_distinct(F.coalesce(tags, F.array().cast("array<string>"))), F.lit(0.0),
-        lambda total, tag: total + F.coalesce(table[tag] * TAG_WEIGHT, F.lit(0.0)),
-    )
+    table = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (name, float(w))])
+    return F.coalesce(table[tag] * TAG_WEIGHT, F.lit(0.0))
 
 
-def item_score(matching: Column, visible: Column, distance: Column, tags: Column, weights: dict[str, float]) -> Column:
+def item_score(matching: Column, visible: Column, distance: Column, tag_score: Column) -> Column:
     """Score of a location or event (J5, J6; the bonus for time is constant zero)."""
     return (
         F.lit(1.0)
         + F.when(matching, MATCHING_BOOST).otherwise(0)
-        + weighted_tag_score(tags, weights)
+        + F.coalesce(tag_score, F.lit(0.0))
         + proximity_bonus(F.coalesce(distance, F.lit(0.0)))
         + F.when(visible, VISIBLE_BOOST).otherwise(0)
     )

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marquesina.functions import geo as G
 from marquesina.functions.dates import effective_end
 from marquesina.functions.text import decode_entities, display_name, emphasis_to_tags, is_country_flag, normalize_for_search
-from marquesina.operators.rules import tag_union
-from marquesina.operators.skew import bounded_lists, first_per_key, top_per_key
+from marquesina.operators.skew import first_per_key, top_per_key
+from marquesina.session import materialize
 
 # Hidden results shown without a term, and the head start of ongoing events in days.
 HIDDEN_LIMIT = 100
@@ -33,15 +33,18 @@ def append_locations(held: DataFrame, more: DataFrame) -> DataFrame:
     return held.unionByName(locations_by_key(more).join(held.select("location_key"), "location_key", "left_anti"), allowMissingColumns=True)
 
 
-def valid_feed_rows(rows: DataFrame, occurrences: Column, app_start: Column, app_end: Column, windows: bool = False) -> DataFrame:
-    """Rows the browser would keep, with text fields cleaned."""
-    out = rows
+def valid_feed_rows(rows: DataFrame, spans: DataFrame, app_start: Column, app_end: Column, windows: bool = False) -> DataFrame:
+    """Rows the browser would keep, with text fields cleaned.
+
+    ``spans``: event_id, start, end, one row per occurrence.
+    """
+    inside = spans.filter((F.col("start") <= app_end) & (F.col("end") >= app_start))
+    out = rows.join(inside.select("event_id"), "event_id", "left_semi")
     for c in ("name", "location", "sublocation"):
         out = out.withColumn(c, decode_entities(F.col(c)))
     for c in ("location", "sublocation"):
         out = out.withColumn(c, F.when(F.col(c).startswith("None") | F.col(c).startswith("N/A"), "").otherwise(F.col(c)))
-    inside = F.exists(occurrences, lambda o: (o["start"] <= app_end) & (o["end"] >= app_start))
-    out = out.filter((F.length("name") > 0) & F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.coalesce(inside, F.lit(False)))
+    out = out.filter((F.length("name") > 0) & F.col("lat").isNotNull() & F.col("lng").isNotNull())
     if windows:
         out = out.withColumn("emoji", F.when(is_country_flag(F.col("emoji")), F.coalesce("location_emoji", "emoji")).otherwise(F.col("emoji")))
     return out
@@ -58,18 +61,23 @@ def in_date_range(events: DataFrame, occurrences: DataFrame, start: Column, end:
     return events.join(per_event, "event_id")
 
 
-def matches_tag_states(tags: Column, states: dict[str, str]) -> Column:
-    """Tri-state predicate over one tag set."""
+def with_matching(events: DataFrame, index: DataFrame, states: dict[str, str]) -> DataFrame:
+    """Add ``matching``: the tri-state predicate over an event's tags.
+
+    ``index``: (tag, event_id) rows, each once. Only rows of the named tags are kept, and they become a few
+    counters per event, so an event may have any number of tags.
+    """
     selected, required, forbidden = split_states(states)
-    arr = lambda ts: F.array(*[F.lit(t) for t in ts])
-    ok = F.lit(True)
-    if forbidden:
-        ok = ok & ~F.arrays_overlap(tags, arr(forbidden))
+    named = index.filter(F.col("tag").isin([*selected, *required, *forbidden]))
+    hits = lambda tags: F.count_if(F.col("tag").isin(tags)) if tags else F.lit(0)
+    counts = named.groupBy("event_id").agg(hits(selected).alias("_some"), hits(required).alias("_all"), hits(forbidden).alias("_bad"))
+    of = lambda name: F.coalesce(name, F.lit(0))
+    ok = of("_bad") == 0
     if required:
-        ok = ok & (F.size(F.array_except(arr(required), tags)) == 0)
+        ok = ok & (of("_all") == len(set(required)))
     elif selected:
-        ok = ok & F.arrays_overlap(tags, arr(selected))
-    return ok
+        ok = ok & (of("_some") > 0)
+    return events.join(counts, "event_id", "left").withColumn("matching", ok).drop("_some", "_all", "_bad")
 
 
 def tag_index(event_tags: DataFrame, events: DataFrame, location_tags: DataFrame) -> DataFrame:
@@ -80,11 +88,6 @@ def tag_index(event_tags: DataFrame, events: DataFrame, location_tags: DataFrame
     return own.unionByName(venue).distinct()
 
 
-def posting_lists(index: DataFrame) -> DataFrame:
-    """The index as id lists, long lists cut into parts."""
-    return bounded_lists(index, ["tag"], F.col("event_id"), "event_ids")
-
-
 def filter_by_tags(base: DataFrame, index: DataFrame, event_tags: DataFrame, all_events: DataFrame, states: dict[str, str], selected: list[str] | None = None) -> DataFrame:
     """Indexed tag filter.
 
@@ -105,9 +108,9 @@ def filter_by_tags(base: DataFrame, index: DataFrame, event_tags: DataFrame, all
     return found
 
 
-def locations_with_match(events: DataFrame, states: dict[str, str]) -> DataFrame:
+def locations_with_match(events: DataFrame, index: DataFrame, states: dict[str, str]) -> DataFrame:
     """Location keys with at least one matching event."""
-    return events.filter(matches_tag_states(F.col("all_tags"), states)).select("location_key").distinct()
+    return with_matching(events, index, states).filter("matching").select("location_key").distinct()
 
 
 def in_viewport(rows: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
@@ -162,46 +165,57 @@ def tag_universe(event_tags: DataFrame, location_tags: DataFrame) -> DataFrame:
 
 
 def events_by_location(events: DataFrame) -> DataFrame:
-    """Event ids per location key, long lists cut into parts."""
-    return bounded_lists(events, ["location_key"], F.col("event_id"), "event_ids")
+    """(location_key, event_id) postings; a crowded key has many rows, not a long one."""
+    return events.select("location_key", "event_id")
 
 
 # Ranking.
 
 
-def popup_order(events: DataFrame, states: dict[str, str], reference: Column, forced: int | None = None) -> DataFrame:
-    """Events per location: matching, then matched tags, then nearness in time.
+def tag_hits(tags: DataFrame, key: str, wanted: list[str], name: str) -> DataFrame:
+    """Number of wanted tags per key."""
+    return tags.filter(F.col("tag").isin(wanted)).groupBy(key).agg(F.count("*").cast("int").alias(name))
 
-    ``events``: location_key, event_id, tags, location_tags, start, end. The order is a distributed
-    sort, so a crowded location needs no task of its own.
+
+def popup_order(
+    events: DataFrame, index: DataFrame, event_tags: DataFrame, location_tags: DataFrame, states: dict[str, str], reference: Column, forced: int | None = None,
+) -> DataFrame:
+    """Events per location: the forced one, then matching, then matched tags, then nearness in time.
+
+    ``events``: location_key, location_id, event_id, start, end. The order is a distributed sort, so a
+    crowded location needs no task of its own.
     """
     selected, _, _ = split_states(states)
-    wanted = F.array(*[F.lit(t) for t in selected]) if selected else F.array().cast("array<string>")
-    both = tag_union(F.col("tags"), F.col("location_tags"))
-    hits = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.array_contains(wanted, t)))
-    seconds = lambda c: F.unix_seconds(F.col(c))
-    away = F.abs(seconds("start") - F.unix_seconds(reference))
+    rows = with_matching(events, index, states)
+    rows = rows.join(tag_hits(event_tags, "event_id", selected, "_own"), "event_id", "left").join(tag_hits(location_tags, "location_id", selected, "_place"), "location_id", "left")
+    away = F.abs(F.unix_seconds("start") - F.unix_seconds(reference))
     ongoing = (F.col("start") <= reference) & (F.col("end") >= reference)
-    out = events.withColumn("matching", matches_tag_states(both, states)).withColumn(
-        "tag_count", F.when(F.col("matching"), hits(F.col("tags")) + hits(F.col("location_tags"))).otherwise(0)
-    ).withColumn("away", F.when(ongoing, F.greatest(F.lit(0), away - ONGOING_BOOST_SECONDS)).otherwise(away)).withColumn(
-        "forced", F.lit(False) if forced is None else F.col("event_id") == forced)
+    hits = F.coalesce("_own", F.lit(0)) + F.coalesce("_place", F.lit(0))
+    out = rows.withColumn("tag_count", F.when(F.col("matching"), hits).otherwise(0)).withColumn(
+        "away", F.when(ongoing, F.greatest(F.lit(0), away - ONGOING_BOOST_SECONDS)).otherwise(away)
+    ).withColumn("forced", F.lit(False) if forced is None else F.col("event_id") == forced).drop("_own", "_place")
     return out.orderBy("location_key", F.col("forced").desc(), F.col("matching").desc(), F.col("tag_count").desc(), "away", "event_id")
 
 
-def score_items(items: DataFrame, kind: str, weights: dict[str, float], label: Column) -> DataFrame:
-    """Result rows of locations or events from matching, visible, distance, tags."""
-    score = G.item_score(F.col("matching"), F.col("visible"), F.col("distance"), F.col("tags"), weights)
+def tag_scores(index: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """Sum of the weights of the weighted tags per key (J7); ``index`` has each (tag, key) once."""
+    named = index.filter(F.col("tag").isin(list(weights)))
+    return named.groupBy(key).agg(F.sum(G.tag_weight(F.col("tag"), weights)).alias("tag_score"))
+
+
+def score_items(items: DataFrame, kind: str, label: Column) -> DataFrame:
+    """Result rows of locations or events from matching, visible, distance, tag_score."""
+    score = G.item_score(F.col("matching"), F.col("visible"), F.col("distance"), F.col("tag_score"))
     return items.select(F.lit(kind).alias("type"), F.col("ref"), label.alias("shown"), "emoji", score.alias("score"), "visible")
 
 
-def location_results(locations: DataFrame, term: str, weights: dict[str, float]) -> DataFrame:
-    return score_items(_candidates(locations, term), "location", weights, display_name(F.col("short_name"), F.col("name")))
+def location_results(locations: DataFrame, term: str) -> DataFrame:
+    return score_items(_candidates(locations, term), "location", display_name(F.col("short_name"), F.col("name")))
 
 
-def event_results(events: DataFrame, term: str, weights: dict[str, float]) -> DataFrame:
+def event_results(events: DataFrame, term: str) -> DataFrame:
     label = emphasis_to_tags(decode_entities(display_name(F.col("short_name"), F.col("name"))))
-    return score_items(_candidates(events, term), "event", weights, F.regexp_replace(label, "</?em>", ""))
+    return score_items(_candidates(events, term), "event", F.regexp_replace(label, "</?em>", ""))
 
 
 def _candidates(items: DataFrame, term: str) -> DataFrame:
@@ -235,7 +249,27 @@ def ranked(results: DataFrame, term: str, selected_location: str | None, states:
         "type", "hidden", F.col("picked").desc(), F.col("score").desc(), "ref")
 
 
-def nearest_feature(points: DataFrame, features: DataFrame, group: list[str]) -> DataFrame:
-    """Nearest feature of each point among the features of its group."""
-    d = F.pow(F.col("lng") - F.col("at_lng"), F.lit(2)) + F.pow(F.col("lat") - F.col("at_lat"), F.lit(2))
-    return points.join(features, group).groupBy("point_id").agg(F.min_by("location_key", F.struct(d, F.col("location_key"))).alias("location_key"))
+def nearest_feature(points: DataFrame, features: DataFrame, size: float, rounds: int = 40) -> DataFrame:
+    """Nearest feature of each point, the lower key on a tie.
+
+    Features lie in square cells of ``size`` degrees; a point meets the features of the cells around it.
+    What it finds is certain once it is no farther than the rim of the cells searched, otherwise the point
+    goes on with cells twice as wide. Each round works on the points still open and on features by cell.
+    """
+    points = points.select("point_id", "lat", "lng")
+    found = None
+    for _ in range(rounds):
+        cell = lambda c: F.floor(F.col(c) / size).cast("long")
+        placed = features.select("location_key", "at_lat", "at_lng", cell("at_lat").alias("cy"), cell("at_lng").alias("cx"))
+        steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
+        around = points.withColumn("s", F.explode(steps)).select("point_id", "lat", "lng", (cell("lat") + F.col("s.dy")).alias("cy"), (cell("lng") + F.col("s.dx")).alias("cx"))
+        d = F.pow(F.col("lng") - F.col("at_lng"), F.lit(2)) + F.pow(F.col("lat") - F.col("at_lat"), F.lit(2))
+        best = around.join(placed, ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), F.col("location_key"))).alias("m"))
+        seen = materialize(points.join(best, "point_id", "left"), "nearest")
+        sure = seen.filter(F.col("m.d") <= size * size).select("point_id", F.col("m.location_key").alias("location_key"))
+        found = sure if found is None else found.unionByName(sure)
+        points = seen.filter(F.col("m").isNull() | (F.col("m.d") > size * size)).select("point_id", "lat", "lng")
+        if points.isEmpty() or features.isEmpty():
+            break
+        size *= 2
+    return found

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquesina.functions.dates import FUTURE_DAYS
 from marquesina.functions.text import blank_to_null
-from marquesina.operators.skew import bounded_lists
 
 # Marker colours by emoji with the default, and the pin used where none is set.
 DEFAULT_COLOUR = "#444"
@@ -78,73 +75,89 @@ def duplicate_groups(events: DataFrame) -> DataFrame:
 OCCURRENCE_ORDER = ["start_date", "start_time", "end_date", "end_time"]
 
 
-def _nested(lists: list[DataFrame], key: str) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, [key, "part"], "full"), lists)
+def occurrence_text() -> Column:
+    """An occurrence as one text, unknown parts as a dash."""
+    return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in OCCURRENCE_ORDER])
+
 
+def details(heads: DataFrame, key: str, kind: str, children: dict[str, DataFrame]) -> DataFrame:
+    """A parent's own row and a row for each of its children: key, kind, item, and the parent's columns (C11).
 
-def _empty(df: DataFrame, names: list[str]) -> DataFrame:
-    types = dict(df.dtypes)
-    for n in names:
-        df = df.withColumn(n, F.coalesce(n, F.array().cast(types[n])))
-    return df
+    ``children``: kind to (key, item) rows. Consumers read them in the order key, kind, item. A parent
+    with very many children is many short rows, never one row that has to fit into a task.
+    """
+    out = heads.select(key, F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("item"), *[c for c in heads.columns if c != key])
+    for name, rows in children.items():
+        out = out.unionByName(rows.select(key, F.lit(name).alias("kind"), "item"), allowMissingColumns=True)
+    return out
+
+
+def _items(rows: DataFrame, item: Column, parent: str = "event_id") -> DataFrame:
+    return rows.select(F.col(parent).alias("id"), item.alias("item"))
 
 
 def event_details(events: DataFrame, occurrences: DataFrame, urls: DataFrame, tags: DataFrame, locations: DataFrame) -> DataFrame:
-    """Events with nested occurrences, urls, tags and the venue; each child is listed before the join (C11)."""
-    lists = _nested([
-        bounded_lists(occurrences, ["event_id"], F.struct(*OCCURRENCE_ORDER), "occurrences"),
-        bounded_lists(urls, ["event_id"], F.col("url"), "urls"),
-        bounded_lists(tags, ["event_id"], F.col("tag"), "tags"),
-    ], "event_id")
-    venue = locations.select(
-        F.col("id").alias("location_id"), F.col("name").alias("location"), "lat", "lng")
-    out = events.join(lists, events["id"] == F.col("event_id"), "left").drop("event_id").join(venue, "location_id", "left")
-    return _empty(out.withColumn("part", F.coalesce("part", F.lit(0))), ["occurrences", "urls", "tags"])
+    """Events with venue, and their occurrences, urls and tags (C11)."""
+    venue = locations.select(F.col("id").alias("location_id"), F.col("name").alias("location"), "lat", "lng")
+    return details(events.join(venue, "location_id", "left").drop("location_id"), "id", "event", {
+        "occurrence": _items(occurrences, occurrence_text()), "url": _items(urls, F.col("url")), "tag": _items(tags, F.col("tag"))})
+
+
+def job_details(jobs: DataFrame, results: DataFrame, usage: DataFrame) -> DataFrame:
+    """Crawl jobs with their results and usage summary (C11)."""
+    total = usage.groupBy("crawl_job_id").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"))
+    summary = F.concat_ws(" ", F.col("calls").cast("string"), F.col("i").cast("string"), F.col("o").cast("string"))
+    return details(jobs, "id", "job", {
+        "result": _items(results, F.concat_ws(" ", F.col("id").cast("string"), F.col("source_id").cast("string"), "status"), "crawl_job_id"),
+        "summary": _items(total, summary, "crawl_job_id")})
+
+
+def location_details(locations: DataFrame, aliases: DataFrame, tags: DataFrame) -> DataFrame:
+    """Locations with their alternate names and tags (C11)."""
+    return details(locations, "id", "location", {"alias": _items(aliases, F.col("alternate_name"), "location_id"), "tag": _items(tags, F.col("tag"), "location_id")})
+
+
+def source_details(sources: DataFrame, urls: DataFrame, configs: DataFrame) -> DataFrame:
+    """Sources with their live urls and config (C11)."""
+    config = F.concat_ws(" ", F.coalesce("crawl_mode", F.lit("-")), F.coalesce(F.col("crawl_frequency").cast("string"), F.lit("-")))
+    return details(sources, "id", "source", {"url": _items(active(urls), F.col("url"), "source_id"), "config": _items(configs, config, "source_id")})
 
 
 def feed_events(
     events: DataFrame, occurrences: DataFrame, urls: DataFrame, tags: DataFrame, locations: DataFrame, today: Column,
 ) -> DataFrame:
-    """Active events with an occurrence in the next 90 days, all their occurrences nested."""
+    """Active events with an occurrence in the next 90 days, and all their occurrences."""
     shown = active(events).filter("status = 'active'").join(upcoming_ids(occurrences, today, FUTURE_DAYS), "id", "left_semi")
     keep = shown.select(F.col("id").alias("event_id"))
     child = lambda df: df.join(keep, "event_id", "left_semi")
     return event_details(
         shown.select("id", "location_id", "name", "short_name", "description", "emoji", "sublocation"),
-        child(occurrences), child(urls), child(tags), locations,
-    ).drop("location_id")
+        child(occurrences), child(urls), child(tags), locations)
 
 
 def feed_locations(locations: DataFrame, tags: DataFrame) -> DataFrame:
     """Live locations with coordinates and their tags."""
     placed = active(locations).filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    lists = bounded_lists(tags, ["location_id"], F.col("tag"), "tags").withColumnRenamed("location_id", "id")
-    out = placed.join(lists, "id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    return _empty(out, ["tags"])
+    shown = tags.join(placed.select(F.col("id").alias("location_id")), "location_id", "left_semi")
+    return details(placed, "id", "location", {"tag": _items(shown, F.col("tag"), "location_id")})
 
 
 def existing_upcoming(events: DataFrame, occurrences: DataFrame, urls: DataFrame, tags: DataFrame, links: DataFrame, locations: DataFrame, today: Column) -> DataFrame:
-    """Per source its active events with upcoming occurrences as JSON.
+    """Active events with upcoming occurrences: their sources, and occurrences as JSON, urls and tags.
 
-    Every child is reduced to one row per event first; a seven-table join would multiply them.
+    Children meet their event, never each other; a seven-table join would multiply them.
     """
     live = active(events).filter("status = 'active'")
     upcoming = occurrences.filter(F.col("start_date") >= today)
-    first = upcoming.groupBy("event_id").agg(F.min("start_date").alias("first_date"))
-    item = F.to_json(F.struct(*OCCURRENCE_ORDER))
-    lists = _nested([
-        bounded_lists(upcoming, ["event_id"], F.struct("start_date", item.alias("json")), "occurrences"),
-        bounded_lists(urls.distinct(), ["event_id"], F.col("url"), "urls"),
-        bounded_lists(tags.distinct(), ["event_id"], F.col("tag"), "tags"),
-    ], "event_id")
+    first = upcoming.groupBy(F.col("event_id").alias("id")).agg(F.min("start_date").alias("first_date"))
     venue = locations.select(F.col("id").alias("location_id"), F.col("name").alias("location"))
-    rows = live.withColumnRenamed("id", "event_id").join(first, "event_id").join(lists, "event_id").join(venue, "location_id", "left")
-    pairs = links.select("source_id", "event_id").distinct()
-    return pairs.join(rows, "event_id").select(
-        "source_id", "event_id", "part", "name", "description", "location", "sublocation", "first_date",
-        F.array_join(F.transform("occurrences", lambda o: o["json"]), ",").alias("occurrences_json"),
-        F.array_join("urls", ",").alias("urls"), F.array_join("tags", ",").alias("tags"), "emoji",
-    )
+    rows = live.join(first, "id").join(venue, "location_id", "left").select("id", "name", "description", "location", "sublocation", "first_date", "emoji")
+    child = lambda df: df.join(rows.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+    return details(rows, "id", "event", {
+        "source": _items(child(links.select("event_id", "source_id").distinct()), F.col("source_id").cast("string")),
+        "occurrence": _items(child(upcoming), F.to_json(F.struct(*OCCURRENCE_ORDER))),
+        "url": _items(child(urls.select("event_id", "url").distinct()), F.col("url")),
+        "tag": _items(child(tags.select("event_id", "tag").distinct()), F.col("tag"))})
 
 
 def marker_features(locations: DataFrame, location_keys: DataFrame, colours: DataFrame) -> DataFrame:

@@ -11,14 +11,13 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marquesina.session import SETTINGS
+
 GIVEN = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
-# Tables whose rows are many or whose texts are long.
-SPREAD = {"lineitem", "orders", "events", "documents", "pages", "conversations"}
-
 # The fixed days the jobs run at: one for the order tables, one for the document tables.
 ORDERS_DAY = "1998-06-15"
 SOURCES_NOW = "2001-11-08 12:00:00"
@@ -176,14 +175,12 @@ class Bound:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        # Sessions made elsewhere may lack this setting of ours.
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", SETTINGS["spark.sql.variant.allowDuplicateKeys"])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in GIVEN:
-            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            # A table in fewer files than there are cores would keep most of them idle; a large one is
-            # read in many splits anyway and is left as it is.
-            cores = self.spark.sparkContext.defaultParallelism
-            return df.repartition(cores) if name in SPREAD and len(df.inputFiles()) < cores else df
+            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name not in VIEWS:
             raise AttributeError(name)
         text = VIEWS[name]

@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marquesina.functions import dates as DT, geo as G, text as T
-from marquesina.operators import browse as S, rules as R, skew
+from marquesina.operators import browse as S
 from marquesina.plans.bindings import ORDERS_DAY
 from marquesina.plans.registry import query
+from marquesina.session import materialize
 
 # The tag choices, the viewport corners and the centre the queries run with.
 SELECTED = {"promo": "selected", "AFRICA": "selected", "Brand#4": "forbidden"}
@@ -30,14 +31,6 @@ XY = "CAST(lat AS DOUBLE) AS y, CAST(lng AS DOUBLE) AS x"
 ALL_TAGS = "(SELECT tag, event_id FROM {fev_tag} UNION SELECT t.tag, e.event_id FROM {fev} e JOIN {loc_tag} t ON t.location_id = e.location_id)"
 
 
-def tagged(b):
-    """Feed events with their own, venue and joint tags."""
-    own = skew.bounded_lists(b.fev_tag, ["event_id"], F.col("tag"), "tags").drop("part")
-    place = skew.bounded_lists(b.loc_tag, ["location_id"], F.col("tag"), "location_tags").drop("part")
-    rows = b.fev.join(own, "event_id", "left").join(place, "location_id", "left")
-    return rows.withColumn("all_tags", R.tag_union(F.col("tags"), F.col("location_tags")))
-
-
 def index(b):
     return S.tag_index(b.fev_tag, b.fev, b.loc_tag)
 
@@ -68,14 +61,14 @@ def _(b):
 SELECT event_id FROM {{fev}} WHERE event_id IN (SELECT event_id FROM {ALL_TAGS} WHERE tag IN ('promo', 'AFRICA'))
 AND event_id NOT IN (SELECT event_id FROM {ALL_TAGS} WHERE tag = 'Brand#4')""")
 def _(b):
-    return tagged(b).filter(S.matches_tag_states(F.col("all_tags"), SELECTED)).select("event_id")
+    return S.with_matching(b.fev, index(b), SELECTED).filter("matching").select("event_id")
 
 
 @query("b6_locations_with_match", f"""
 SELECT DISTINCT location_key FROM {{fev}} WHERE event_id IN (SELECT event_id FROM {ALL_TAGS} WHERE tag = 'small') AND event_id IN (SELECT event_id FROM {ALL_TAGS} WHERE tag = 'Brand#7')
 AND event_id NOT IN (SELECT event_id FROM {ALL_TAGS} WHERE tag = 'Brand#9')""")
 def _(b):
-    return S.locations_with_match(tagged(b), REQUIRED)
+    return S.locations_with_match(b.fev, index(b), REQUIRED)
 
 
 @query("b7_g1_indexed_selected", f"""
@@ -111,11 +104,8 @@ def _(b):
 SELECT f.event_id, f.location, CASE WHEN starts_with(f.sublocation, 'N/A') THEN '' ELSE f.sublocation END AS sublocation FROM {{fev}} f
 WHERE f.event_id IN (SELECT event_id FROM {SPAN_SQL} WHERE s <= TIMESTAMP '1998-12-31 00:00:00' AND e >= TIMESTAMP '1998-01-01 00:00:00')""")
 def _(b):
-    spans = instants(b).join(b.fev.select("event_id"), "event_id", "left_semi")
-    lists = skew.bounded_lists(spans, ["event_id"], F.struct("start", "end"), "occurrences")
-    rows = b.fev.join(lists, "event_id")
     at = lambda d: F.lit(d).cast("timestamp")
-    return S.valid_feed_rows(rows, F.col("occurrences"), at("1998-01-01"), at("1998-12-31")).select("event_id", "location", "sublocation")
+    return S.valid_feed_rows(b.fev, instants(b), at("1998-01-01"), at("1998-12-31")).select("event_id", "location", "sublocation")
 
 
 @query("b13_search_term_filter", """
@@ -165,15 +155,14 @@ def _(b):
     return out.select("tag", F.round("frequency", 6).alias("frequency"))
 
 
-@query("d14_posting_lists", f"SELECT tag, COUNT(*) AS n, MIN(event_id) AS first_id, MAX(event_id) AS last_id FROM {ALL_TAGS} GROUP BY tag")
+@query("d14_posting_lists", f"SELECT tag, event_id FROM {ALL_TAGS}")
 def _(b):
-    parts = S.posting_lists(index(b))
-    return parts.groupBy("tag").agg(F.sum(F.size("event_ids")).alias("n"), F.min(F.array_min("event_ids")).alias("first_id"), F.max(F.array_max("event_ids")).alias("last_id"))
+    return index(b)
 
 
-@query("d15_events_by_location", "SELECT location_key, STRING_AGG(CAST(event_id AS STRING), ',' ORDER BY event_id) AS event_ids FROM {fev} GROUP BY location_key")
+@query("d15_events_by_location", "SELECT location_key, event_id FROM {fev}")
 def _(b):
-    return S.events_by_location(b.fev).select("location_key", F.array_join(F.transform("event_ids", lambda i: i.cast("string")), ",").alias("event_ids"))
+    return S.events_by_location(b.fev)
 
 
 @query("d17_tag_universe", "SELECT DISTINCT tag FROM (SELECT tag FROM {fev_tag} UNION ALL SELECT tag FROM {place_tag})")
@@ -191,7 +180,7 @@ def _(b):
     return b.fev.select("event_id", G.coordinate_key(F.col("lat")).cast("double").alias("lat5"))
 
 
-SPANS = f"(SELECT event_id, MIN(s) AS s, MAX(e) AS e FROM {SPAN_SQL} GROUP BY event_id)"
+SPANS = f"(SELECT event_id, MIN(s) AS s, arg_min(e, (s, e)) AS e FROM {SPAN_SQL} GROUP BY event_id)"
 REFERENCE = "1998-06-15 16:00:00"
 
 
@@ -203,17 +192,17 @@ LEFT JOIN (SELECT DISTINCT event_id FROM {ALL_TAGS} WHERE tag IN ('promo', 'AFRI
 LEFT JOIN (SELECT event_id, COUNT(*) AS n FROM {{fev_tag}} WHERE tag IN ('promo', 'AFRICA') GROUP BY 1) a ON a.event_id = f.event_id
 LEFT JOIN (SELECT location_id, COUNT(*) AS n FROM {{loc_tag}} WHERE tag IN ('promo', 'AFRICA') GROUP BY 1) c ON c.location_id = f.location_id""")
 def _(b):
-    spans = instants(b).groupBy("event_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    rows = tagged(b).join(spans, "event_id")
-    out = S.popup_order(rows, SELECTED, F.lit(REFERENCE).cast("timestamp"), forced=33)
+    # Start and end are those of an event's first occurrence.
+    spans = instants(b).groupBy("event_id").agg(F.min(F.struct("start", "end")).alias("o")).select("event_id", "o.*")
+    out = S.popup_order(b.fev.join(spans, "event_id"), index(b), b.fev_tag, b.loc_tag, SELECTED, F.lit(REFERENCE).cast("timestamp"), forced=33)
     return out.select("event_id", "location_key", "forced", "matching", "tag_count", "away")
 
 
 def search_items(b):
     seen = S.in_viewport(b.fev, QUAD).select("event_id", F.lit(True).alias("in_view"))
-    flags = tagged(b).join(seen, "event_id", "left").withColumn("matching", S.matches_tag_states(F.col("all_tags"), SELECTED))
+    flags = S.with_matching(b.fev, index(b), SELECTED).join(seen, "event_id", "left").join(S.tag_scores(index(b), "event_id", WEIGHTS), "event_id", "left")
     rows = S.with_distance(flags, CENTRE).withColumn("visible", F.coalesce("in_view", F.lit(False)) & F.col("matching"))
-    return rows.withColumn("ref", F.col("event_id")).withColumn("tags", F.col("all_tags")).withColumn(
+    return rows.withColumn("ref", F.col("event_id")).withColumn(
         "search_text", S.search_text(F.col("name"), F.col("short_name"), F.col("description"), F.col("location"), F.col("sublocation")))
 
 
@@ -228,23 +217,23 @@ e AS (SELECT event_id AS ref, COALESCE(short_name, name) AS shown, lower(concat_
 
 @query("j6_j7_event_search", SCORED + " SELECT ref, shown, ROUND(score, 6) AS score, visible FROM e WHERE txt LIKE '%show 3%'")
 def _(b):
-    return S.event_results(search_items(b), "show 3", WEIGHTS).select("ref", "shown", F.round("score", 6).alias("score"), "visible")
+    return S.event_results(search_items(b), "show 3").select("ref", "shown", F.round("score", 6).alias("score"), "visible")
 
 
 @query("e10_event_results_without_term", SCORED + """
 SELECT ref, ROUND(score, 6) AS score, visible FROM e WHERE visible
 UNION ALL SELECT ref, ROUND(score, 6), visible FROM (SELECT * FROM e WHERE matching AND NOT visible ORDER BY ref LIMIT 100)""")
 def _(b):
-    return S.event_results(search_items(b), "", WEIGHTS).select("ref", F.round("score", 6).alias("score"), "visible")
+    return S.event_results(search_items(b), "").select("ref", F.round("score", 6).alias("score"), "visible")
 
 
-def search_places(b):
-    matching = search_items(b).filter("matching")
+def search_places(b, items=None):
+    matching = (search_items(b) if items is None else items).filter("matching")
     keys = matching.groupBy("location_key").agg(F.bool_or("visible").alias("visible"))
-    tags = skew.bounded_lists(b.place_tag, ["location_key"], F.col("tag"), "tags").drop("part")
-    p = S.with_distance(S.locations_by_key(b.loc), CENTRE).join(keys.withColumn("matching", F.lit(True)), "location_key", "left").join(tags, "location_key", "left")
+    scores = S.tag_scores(b.place_tag.select("tag", "location_key").distinct(), "location_key", WEIGHTS)
+    p = S.with_distance(S.locations_by_key(b.loc), CENTRE).join(keys.withColumn("matching", F.lit(True)), "location_key", "left").join(scores, "location_key", "left")
     return p.withColumn("ref", F.col("location_key")).withColumn("matching", F.coalesce("matching", F.lit(False))).withColumn("visible", F.coalesce("visible", F.lit(False))).withColumn(
-        "search_text", S.search_text(F.col("name"), F.col("short_name"), *[F.array_join("tags", " ")]))
+        "search_text", S.search_text(F.col("name"), F.col("short_name")))
 
 
 PLACES = """,
@@ -256,7 +245,7 @@ r AS (SELECT ref, matching, visible, txt, 1 + CASE WHEN matching THEN 10 ELSE 0
 
 @query("j5_location_search", SCORED + PLACES + " SELECT ref, ROUND(score, 6) AS score, visible FROM r WHERE txt LIKE '%hall nation_1%'")
 def _(b):
-    return S.location_results(search_places(b), "hall nation_1", WEIGHTS).select("ref", F.round("score", 6).alias("score"), "visible")
+    return S.location_results(search_places(b), "hall nation_1").select("ref", F.round("score", 6).alias("score"), "visible")
 
 
 def tag_table(b):
@@ -287,18 +276,19 @@ UNION ALL SELECT 'location', ref, ROUND(score, 5), FALSE, FALSE FROM r WHERE vis
 UNION ALL SELECT 'location', ref, ROUND(score, 5), TRUE, FALSE FROM (SELECT * FROM r WHERE matching AND NOT visible ORDER BY ref LIMIT 100)
 UNION ALL SELECT 'tag', tag, ROUND(score, 5), NOT visible, FALSE FROM tags WHERE tag NOT IN ('promo', 'AFRICA', 'Brand#4') AND lower(tag) <> 'asia'""")
 def _(b):
-    events = S.event_results(search_items(b), "", WEIGHTS).withColumn("ref", F.col("ref").cast("string"))
-    found = events.unionByName(S.location_results(search_places(b), "", WEIGHTS)).unionByName(S.tag_results(tag_table(b), "", ["Asia"]))
+    items = materialize(search_items(b), "search-items")
+    events = S.event_results(items, "").withColumn("ref", F.col("ref").cast("string"))
+    found = events.unionByName(S.location_results(search_places(b, items), "")).unionByName(S.tag_results(tag_table(b), "", ["Asia"]))
     return S.ranked(found, "", None, SELECTED).select("type", "ref", F.round("score", 5).alias("score"), "hidden", "picked")
 
 
 @query("f10_nearest_feature", """
-SELECT point_id, arg_min(location_key, ((x - px) * (x - px) + (y - py) * (y - py), location_key)) AS location_key FROM (
-  SELECT e.event_id AS point_id, p.location_key, CAST(l.lat AS DOUBLE) AS y, CAST(l.lng AS DOUBLE) AS x, CAST(e.lat AS DOUBLE) + 0.0004 AS py, CAST(e.lng AS DOUBLE) - 0.0003 AS px
-  FROM {fev} e JOIN (SELECT p.location_key, p.id, floor(CAST(l.lat AS DOUBLE) * 500) AS cell FROM {place} p JOIN {loc} l ON l.id = p.id) p ON p.cell = floor(CAST(e.lat AS DOUBLE) * 500)
-  JOIN {loc} l ON l.id = p.id) GROUP BY point_id""")
+WITH p AS (SELECT p.location_key, CAST(l.lat AS DOUBLE) AS y, CAST(l.lng AS DOUBLE) AS x FROM {place} p JOIN {loc} l ON l.id = p.id),
+e AS (SELECT event_id AS point_id, CAST(lat AS DOUBLE) + 0.0004 AS py, CAST(lng AS DOUBLE) - 0.0003 AS px FROM {fev}),
+d AS (SELECT DISTINCT py, px FROM e),
+n AS (SELECT py, px, arg_min(location_key, ((x - px) * (x - px) + (y - py) * (y - py), location_key)) AS location_key FROM d, p GROUP BY py, px)
+SELECT point_id, location_key FROM e JOIN n ON n.py = e.py AND n.px = e.px""")
 def _(b):
-    cell = lambda c: F.floor(F.col(c).cast("double") * 500).alias("cell")
-    features = S.locations_by_key(b.loc).select("location_key", F.col("lat").cast("double").alias("at_lat"), F.col("lng").cast("double").alias("at_lng"), cell("lat"))
-    points = b.fev.select(F.col("event_id").alias("point_id"), (F.col("lat").cast("double") + 0.0004).alias("lat"), (F.col("lng").cast("double") - 0.0003).alias("lng"), cell("lat"))
-    return S.nearest_feature(points, features, ["cell"])
+    features = S.locations_by_key(b.loc).select("location_key", F.col("lat").cast("double").alias("at_lat"), F.col("lng").cast("double").alias("at_lng"))
+    points = b.fev.select(F.col("event_id").alias("point_id"), (F.col("lat").cast("double") + 0.0004).alias("lat"), (F.col("lng").cast("double") - 0.0003).alias("lng"))
+    return S.nearest_feature(points, features, 0.01)

@@ -16,18 +16,7 @@ def today():
 DAY = f"DATE '{ORDERS_DAY}'"
 
 
-def text_list(c, sep="|"):
-    return F.array_join(c, sep)
-
-
-def occurrence_text(c):
-    blank = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
-    return F.array_join(F.array_sort(F.transform(c, lambda o: F.concat_ws(
-        " ", blank(o["start_date"]), blank(o["start_time"]), blank(o["end_date"]), blank(o["end_time"])))), ";")
-
-
-OCC_TEXT = """STRING_AGG(CAST(start_date AS STRING) || ' ' || COALESCE(start_time, '-') || ' ' || COALESCE(CAST(end_date AS STRING), '-') || ' ' || COALESCE(end_time, '-'), ';'
-    ORDER BY CAST(start_date AS STRING) || ' ' || COALESCE(start_time, '-') || ' ' || COALESCE(CAST(end_date AS STRING), '-') || ' ' || COALESCE(end_time, '-'))"""
+OCC_ITEM = """CAST(start_date AS STRING) || ' ' || COALESCE(start_time, '-') || ' ' || COALESCE(CAST(end_date AS STRING), '-') || ' ' || COALESCE(end_time, '-')"""
 
 
 @query("f1_upcoming_listing", f"""
@@ -131,59 +120,75 @@ def _(b):
 
 
 @query("c11_f7_event_details", f"""
-SELECT e.id, COALESCE(o.t, '') AS occurrences, COALESCE(u.t, '') AS urls, COALESCE(g.t, '') AS tags, l.name AS location
-FROM {{ev}} e LEFT JOIN (SELECT event_id, {OCC_TEXT} AS t FROM {{occ}} GROUP BY 1) o ON o.event_id = e.id
-LEFT JOIN (SELECT event_id, STRING_AGG(url, '|' ORDER BY url) AS t FROM {{ev_url}} GROUP BY 1) u ON u.event_id = e.id
-LEFT JOIN (SELECT event_id, STRING_AGG(tag, '|' ORDER BY tag) AS t FROM {{ev_tag}} GROUP BY 1) g ON g.event_id = e.id
-LEFT JOIN {{loc}} l ON l.id = e.location_id""")
+SELECT e.id, 'event' AS kind, NULL AS item, l.name AS location FROM {{ev}} e LEFT JOIN {{loc}} l ON l.id = e.location_id
+UNION ALL SELECT event_id, 'occurrence', {OCC_ITEM}, NULL FROM {{occ}} UNION ALL SELECT event_id, 'url', url, NULL FROM {{ev_url}}
+UNION ALL SELECT event_id, 'tag', tag, NULL FROM {{ev_tag}}""")
 def _(b):
-    d = D.event_details(b.ev.select("id", "location_id"), b.occ, b.ev_url, b.ev_tag, b.loc)
-    return d.select("id", occurrence_text(F.col("occurrences")).alias("occurrences"), text_list("urls").alias("urls"), text_list("tags").alias("tags"), "location")
+    return D.event_details(b.ev.select("id", "location_id"), b.occ, b.ev_url, b.ev_tag, b.loc).select("id", "kind", "item", "location")
+
+
+@query("c11_job_details", """
+SELECT id, 'job' AS kind, NULL AS item, status FROM {job} UNION ALL SELECT crawl_job_id, 'result', CAST(id AS STRING) || ' ' || CAST(source_id AS STRING) || ' ' || status, NULL FROM {res}
+UNION ALL SELECT crawl_job_id, 'summary', CAST(COUNT(*) AS STRING) || ' ' || CAST(CAST(SUM(input_tokens) AS BIGINT) AS STRING) || ' ' || CAST(CAST(SUM(output_tokens) AS BIGINT) AS STRING), NULL FROM {usage} GROUP BY crawl_job_id""")
+def _(b):
+    return D.job_details(b.job.select("id", "status"), b.res, b.usage)
+
+
+@query("c11_location_details", """
+SELECT id, 'location' AS kind, NULL AS item, name FROM {loc} UNION ALL SELECT location_id, 'alias', alternate_name, NULL FROM {alias} UNION ALL SELECT location_id, 'tag', tag, NULL FROM {loc_tag}""")
+def _(b):
+    return D.location_details(b.loc.select("id", "name"), b.alias, b.loc_tag)
+
+
+@query("c11_source_details", """
+SELECT id, 'source' AS kind, NULL AS item, name FROM {src} UNION ALL SELECT source_id, 'url', url, NULL FROM {src_url} WHERE deleted_at IS NULL
+UNION ALL SELECT source_id, 'config', COALESCE(crawl_mode, '-') || ' ' || COALESCE(CAST(crawl_frequency AS STRING), '-'), NULL FROM {cfg}""")
+def _(b):
+    return D.source_details(b.src.select("id", "name"), b.src_url, b.cfg)
 
 
 @query("a13_feed_events", f"""
-SELECT e.id, e.name, e.short_name, e.emoji, e.sublocation, l.name AS location, CAST(l.lat AS DOUBLE) AS lat, CAST(l.lng AS DOUBLE) AS lng,
-       o.t AS occurrences, COALESCE(u.t, '') AS urls, COALESCE(g.t, '') AS tags
-FROM {{ev}} e JOIN (SELECT event_id, {OCC_TEXT} AS t FROM {{occ}} GROUP BY 1) o ON o.event_id = e.id
-LEFT JOIN (SELECT event_id, STRING_AGG(url, '|' ORDER BY url) AS t FROM {{ev_url}} GROUP BY 1) u ON u.event_id = e.id
-LEFT JOIN (SELECT event_id, STRING_AGG(tag, '|' ORDER BY tag) AS t FROM {{ev_tag}} GROUP BY 1) g ON g.event_id = e.id
-LEFT JOIN {{loc}} l ON l.id = e.location_id
-WHERE e.status = 'active' AND e.deleted_at IS NULL AND e.id IN (SELECT event_id FROM {{occ}} WHERE start_date BETWEEN {DAY} AND {DAY} + 90)""")
+WITH s AS (SELECT * FROM {{ev}} WHERE status = 'active' AND deleted_at IS NULL AND id IN (SELECT event_id FROM {{occ}} WHERE start_date BETWEEN {DAY} AND {DAY} + 90))
+SELECT e.id, 'event' AS kind, NULL AS item, e.name, e.short_name, e.emoji, e.sublocation, l.name AS location, CAST(l.lat AS DOUBLE) AS lat, CAST(l.lng AS DOUBLE) AS lng
+FROM s e LEFT JOIN {{loc}} l ON l.id = e.location_id
+UNION ALL SELECT event_id, 'occurrence', {OCC_ITEM}, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{occ}} WHERE event_id IN (SELECT id FROM s)
+UNION ALL SELECT event_id, 'url', url, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{ev_url}} WHERE event_id IN (SELECT id FROM s)
+UNION ALL SELECT event_id, 'tag', tag, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{ev_tag}} WHERE event_id IN (SELECT id FROM s)""")
 def _(b):
     f = D.feed_events(b.ev, b.occ, b.ev_url, b.ev_tag, b.loc, today())
-    return f.select("id", "name", "short_name", "emoji", "sublocation", "location", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"),
-                    occurrence_text(F.col("occurrences")).alias("occurrences"), text_list("urls").alias("urls"), text_list("tags").alias("tags"))
+    return f.select("id", "kind", "item", "name", "short_name", "emoji", "sublocation", "location", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
 
 
 @query("a14_feed_locations", """
-SELECT l.id, l.name, l.short_name, CAST(l.lat AS DOUBLE) AS lat, CAST(l.lng AS DOUBLE) AS lng, l.emoji, t.tags
-FROM {loc} l LEFT JOIN (SELECT location_id, STRING_AGG(tag, '|' ORDER BY tag) AS tags FROM {loc_tag} GROUP BY 1) t ON t.location_id = l.id
-WHERE l.deleted_at IS NULL AND l.lat IS NOT NULL AND l.lng IS NOT NULL""")
+WITH p AS (SELECT * FROM {loc} WHERE deleted_at IS NULL AND lat IS NOT NULL AND lng IS NOT NULL)
+SELECT id, 'location' AS kind, NULL AS item, name, short_name, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng, emoji FROM p
+UNION ALL SELECT location_id, 'tag', tag, NULL, NULL, NULL, NULL, NULL FROM {loc_tag} WHERE location_id IN (SELECT id FROM p)""")
 def _(b):
-    return D.feed_locations(b.loc, b.loc_tag).select("id", "name", "short_name", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), "emoji", text_list("tags").alias("tags"))
+    return D.feed_locations(b.loc, b.loc_tag).select("id", "kind", "item", "name", "short_name", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), "emoji")
+
+
+def occurrence_json(*fields: str) -> str:
+    """SQL of the JSON text of an occurrence: fields that are null are left out."""
+    rest = " || ".join(f"""COALESCE(',"{f}":"' || CAST({f} AS STRING) || '"', '')""" for f in fields[1:])
+    return f"""'{{{{"{fields[0]}":"' || CAST({fields[0]} AS STRING) || '"' || {rest} || '}}}}'"""
 
 
 @query("a23_c10_existing_upcoming", f"""
-WITH o AS (SELECT event_id, MIN(start_date) AS first_date, COUNT(*) AS n FROM {{occ}} WHERE start_date >= {DAY} GROUP BY 1)
-SELECT DISTINCT k.source_id, e.id AS event_id, e.name, l.name AS location, o.first_date, o.n AS n_occurrences,
-       (SELECT STRING_AGG(DISTINCT url, ',' ORDER BY url) FROM {{ev_url}} u WHERE u.event_id = e.id) AS urls,
-       (SELECT STRING_AGG(DISTINCT tag, ',' ORDER BY tag) FROM {{ev_tag}} g WHERE g.event_id = e.id) AS tags
-FROM {{ev_src}} k JOIN {{ev}} e ON e.id = k.event_id JOIN o ON o.event_id = e.id LEFT JOIN {{loc}} l ON l.id = e.location_id
-WHERE e.status = 'active' AND e.deleted_at IS NULL""")
+WITH o AS (SELECT event_id, MIN(start_date) AS first_date FROM {{occ}} WHERE start_date >= {DAY} GROUP BY 1),
+r AS (SELECT e.id, e.name, l.name AS location, o.first_date FROM {{ev}} e JOIN o ON o.event_id = e.id LEFT JOIN {{loc}} l ON l.id = e.location_id WHERE e.status = 'active' AND e.deleted_at IS NULL)
+SELECT id, 'event' AS kind, NULL AS item, name, location, first_date FROM r
+UNION ALL SELECT DISTINCT event_id, 'source', CAST(source_id AS STRING), NULL, NULL, NULL FROM {{ev_src}} WHERE event_id IN (SELECT id FROM r)
+UNION ALL SELECT event_id, 'occurrence', {occurrence_json('start_date', 'start_time', 'end_date', 'end_time')}, NULL, NULL, NULL FROM {{occ}} WHERE start_date >= {DAY} AND event_id IN (SELECT id FROM r)
+UNION ALL SELECT DISTINCT event_id, 'url', url, NULL, NULL, NULL FROM {{ev_url}} WHERE event_id IN (SELECT id FROM r)
+UNION ALL SELECT DISTINCT event_id, 'tag', tag, NULL, NULL, NULL FROM {{ev_tag}} WHERE event_id IN (SELECT id FROM r)""")
 def _(b):
     x = D.existing_upcoming(b.ev, b.occ, b.ev_url, b.ev_tag, b.ev_src, b.loc, today())
-    n = F.regexp_count("occurrences_json", F.lit('"start_date"')).cast("long").alias("n_occurrences")
-    return x.select("source_id", "event_id", "name", "location", "first_date", n, "urls", "tags")
+    return x.select("id", "kind", "item", "name", "location", "first_date")
 
 
-@query("d9_k5_occurrence_json", f"""
-SELECT event_id, STRING_AGG('{{{{"start_date":"' || CAST(start_date AS STRING) || '"' || COALESCE(',"start_time":"' || start_time || '"', '') || '}}}}', ','
-       ORDER BY start_date, '{{{{"start_date":"' || CAST(start_date AS STRING) || '"' || COALESCE(',"start_time":"' || start_time || '"', '') || '}}}}') AS occurrences_json
-FROM {{occ}} GROUP BY event_id""".replace("{{{{", "{{").replace("}}}}", "}}"))
+@query("d9_k5_occurrence_json", f"SELECT event_id, start_date, {occurrence_json('start_date', 'start_time')} AS item FROM {{occ}}")
 def _(b):
-    item = F.to_json(F.struct("start_date", "start_time"))
-    rows = skew.bounded_lists(b.occ, ["event_id"], F.struct("start_date", item.alias("j")), "items")
-    return rows.select("event_id", F.array_join(F.transform("items", lambda i: i["j"]), ",").alias("occurrences_json"))
+    return b.occ.select("event_id", "start_date", F.to_json(F.struct("start_date", "start_time")).alias("item"))
 
 
 @query("d2_events_by_status", "SELECT status, COUNT(*) AS n FROM {ev} WHERE deleted_at IS NULL GROUP BY status")

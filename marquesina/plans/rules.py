@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquesina.functions import tags as TG, text as T, venues as V
-from marquesina.operators import rules as R, skew
+from marquesina.operators import rules as R
 from marquesina.plans.registry import query
 
 
@@ -19,9 +19,9 @@ def rule_table(b):
 
 
 def raw_tags(b):
-    """Distinct brand tags per order, in brand order."""
+    """Distinct brand tags of orders, in brand order."""
     pairs = b.lineitem.join(b.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("event_id"), F.col("p_brand").alias("tag")).distinct()
-    return skew.bounded_lists(pairs, ["event_id"], F.col("tag"), "raw").filter("part = 0").select("event_id", "raw")
+    return pairs.select("event_id", F.lit(1).alias("group"), F.col("tag").alias("at"), "tag")
 
 
 RULED = """
@@ -30,25 +30,27 @@ x AS (SELECT event_id, tag, n, CASE WHEN n % 5 <> 0 AND n % 7 <> 0 AND n % 2 = 0
 k AS (SELECT event_id, final, MIN(tag) AS at FROM x WHERE NOT (n % 5 = 0) GROUP BY event_id, final)"""
 
 
-@query("c16_g8_processed_tags", RULED + """
-SELECT e.event_id, COALESCE(STRING_AGG(k.final, '|' ORDER BY k.at), '') AS tags FROM (SELECT DISTINCT event_id FROM r) e LEFT JOIN k ON k.event_id = e.event_id GROUP BY e.event_id""")
+@query("c16_g8_processed_tags", RULED + " SELECT k.event_id, k.final AS tag, k.at AS first_of FROM k")
 def _(b):
-    out = R.apply_tag_rules(raw_tags(b), "event_id", "raw", TG.live_rules(rule_table(b)))
-    return out.select("event_id", F.array_join("tags", "|").alias("tags"))
+    return R.apply_tag_rules(raw_tags(b), "event_id", TG.live_rules(rule_table(b)))[0].select("event_id", "tag", F.col("at").alias("first_of"))
 
 
 @query("b16_removed_events", """
 SELECT DISTINCT l_orderkey AS event_id FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
 WHERE CAST(substring(p_brand, 7) AS INT) % 7 = 0 AND CAST(substring(p_brand, 7) AS INT) % 5 <> 0""")
 def _(b):
-    return R.apply_tag_rules(raw_tags(b), "event_id", "raw", TG.live_rules(rule_table(b))).filter("removed").select("event_id")
+    return R.apply_tag_rules(raw_tags(b), "event_id", TG.live_rules(rule_table(b)))[1]
 
 
 @query("c16_joined_tag_rules", RULED + """
-SELECT e.event_id, COALESCE(STRING_AGG(k.final, '|' ORDER BY k.at), '') AS tags FROM (SELECT DISTINCT event_id FROM r) e LEFT JOIN k ON k.event_id = e.event_id GROUP BY e.event_id""")
+SELECT e.event_id, COUNT(k.final) AS n_tags, e.event_id IN (SELECT event_id FROM r WHERE n % 7 = 0 AND n % 5 <> 0) AS removed
+FROM (SELECT DISTINCT event_id FROM r) e LEFT JOIN k ON k.event_id = e.event_id GROUP BY e.event_id""")
 def _(b):
-    out = R.apply_tag_rules(raw_tags(b), "event_id", "raw", TG.live_rules(rule_table(b)), limit=0)
-    return out.select("event_id", F.array_join("tags", "|").alias("tags"))
+    raw = raw_tags(b)
+    tags, removed = R.apply_tag_rules(raw, "event_id", TG.live_rules(rule_table(b)))
+    counts = tags.groupBy("event_id").agg(F.count("*").alias("n_tags"))
+    out = raw.select("event_id").distinct().join(counts, "event_id", "left").join(removed.withColumn("removed", F.lit(True)), "event_id", "left")
+    return out.select("event_id", F.coalesce("n_tags", F.lit(0)).alias("n_tags"), F.coalesce("removed", F.lit(False)).alias("removed"))
 
 
 @query("h11_coerced_tags", "SELECT p_partkey, lower(p_brand) AS key, p_type || '|' || p_brand AS tags FROM {part}")
@@ -76,13 +78,9 @@ def _(b):
 
 
 @query("g3_tag_union", """
-SELECT event_id, STRING_AGG(tag, '|' ORDER BY tag) AS tags FROM (
-  SELECT e.id AS event_id, t.tag FROM {ev} e JOIN {ev_tag} t ON t.event_id = e.id UNION SELECT e.id, g.tag FROM {ev} e JOIN {loc_tag} g ON g.location_id = e.location_id) GROUP BY event_id""")
+SELECT e.id AS event_id, t.tag FROM {ev} e JOIN {ev_tag} t ON t.event_id = e.id UNION SELECT e.id, g.tag FROM {ev} e JOIN {loc_tag} g ON g.location_id = e.location_id""")
 def _(b):
-    own = skew.bounded_lists(b.ev_tag, ["event_id"], F.col("tag"), "own").drop("part")
-    place = skew.bounded_lists(b.loc_tag, ["location_id"], F.col("tag"), "place").drop("part")
-    rows = b.ev.select(F.col("id").alias("event_id"), "location_id").join(own, "event_id", "left").join(place, "location_id", "left")
-    return rows.select("event_id", F.array_join(F.array_sort(R.tag_union(F.col("own"), F.col("place"))), "|").alias("tags"))
+    return R.tag_union(b.ev_tag, b.loc_tag, b.ev.withColumnRenamed("id", "event_id"))
 
 
 @query("g4_implicit_change", """
@@ -90,18 +88,13 @@ SELECT a.tag, CASE WHEN a.tag IN (SELECT related FROM {edge} WHERE tag = 'large'
 FROM (SELECT DISTINCT related AS tag FROM {edge} WHERE tag = 'promo') a
 UNION ALL SELECT related, 'added' FROM {edge} WHERE tag = 'large' AND related NOT IN (SELECT related FROM {edge} WHERE tag = 'promo')""")
 def _(b):
-    lists = b.edge.filter(F.col("tag").isin("promo", "large")).groupBy(F.lit(1).alias("one")).agg(
-        *[F.collect_set(F.when(F.col("tag") == t, F.col("related"))).alias(t) for t in ("promo", "large")])
-    added, removed = R.implicit_change(F.col("promo"), F.col("large"))
-    kept = F.array_intersect("promo", "large")
-    tagged = lambda c, label: F.transform(c, lambda t: F.struct(t.alias("tag"), F.lit(label).alias("change")))
-    return lists.select(F.inline(F.concat(tagged(added, "added"), tagged(removed, "removed"), tagged(kept, "kept"))))
+    of = lambda tag: b.edge.filter(F.col("tag") == tag).select(F.col("related").alias("tag"))
+    return R.implicit_change(of("promo"), of("large"))
 
 
-@query("b22_shown_location_tags", "SELECT location_id, STRING_AGG(tag, '|' ORDER BY tag) AS tags FROM {loc_tag} WHERE lower(tag) NOT IN ('asia', 'europe') GROUP BY location_id")
+@query("b22_shown_location_tags", "SELECT location_id, tag FROM {loc_tag} WHERE lower(tag) NOT IN ('asia', 'europe')")
 def _(b):
-    lists = skew.bounded_lists(b.loc_tag, ["location_id"], F.col("tag"), "tags")
-    return lists.select("location_id", F.array_join(R.shown_location_tags(F.col("tags"), ["Asia", "EUROPE"]), "|").alias("tags"))
+    return R.shown_location_tags(b.loc_tag, ["Asia", "EUROPE"])
 
 
 @query("b17_row_violations", """

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,11 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.legacy.parquet.nanosAsLong": "false",
+    # Of repeated JSON keys the last counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    # A small table is read in as many splits as there are cores, a large one in splits of at most this size.
+    "spark.sql.files.maxPartitionBytes": "128m",
+    "spark.sql.files.openCostInBytes": "1m",
 }
 
 
@@ -25,21 +31,31 @@ def build_session(master: str = "local[*]", partitions: int = 8, **extra: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for durable intermediates: ``spark.checkpoint.dir`` as the session names it.
+    """The folder for durable intermediates: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
-    A private folder is only made for a local master, where driver and tasks share one disk.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="marquesina-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+
+_KNOWN: set[str] = set()
+
+
+def _stage_root(spark: SparkSession) -> str:
+    """Folder of this application below the shared one; it is deleted when the driver ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    if root not in _KNOWN:
+        _KNOWN.add(root)
+
+        def forget() -> None:
+            with contextlib.suppress(Exception):  # the session may have ended before
+                _delete(spark, root)
+
+        atexit.register(forget)
+    return root
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -48,7 +64,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Unlike a cache this survives the loss of executors, and it cuts the lineage of loops.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,9 +72,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def drop_materialized(*frames: DataFrame) -> None:
     """Delete files written by :func:`materialize` once no later step reads them."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
         for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(parent), True)
+            _delete(df.sparkSession, parent)
