@@ -145,10 +145,10 @@ def class_names(event: Column) -> Column:
 
 
 def class_emoji(event: Column) -> Column:
-    """Emoji of the first known class."""
+    """Emoji of the first known class; without any class map a calendar."""
     table = F.create_map(*[F.lit(x) for pair in CLASS_EMOJI.items() for x in pair])
     known = F.filter(F.transform(class_names(event), lambda d: table[strip(F.lower(d))]), lambda e: e.isNotNull())
-    return F.coalesce(F.get(known, F.lit(0)), F.lit(OTHER_CLASS_EMOJI))
+    return F.when(event["clasificaciones"].isNull(), NO_CLASS_EMOJI).otherwise(F.coalesce(F.get(known, F.lit(0)), F.lit(OTHER_CLASS_EMOJI)))
 
 
 def show_occurrences(venue: Column) -> Column:

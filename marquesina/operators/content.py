@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marquesina.functions import jsons as J
 from marquesina.functions.text import blank_to_null, body_after_url, leading_url
 from marquesina.operators.crawl import MAX_CONTENT
-from marquesina.operators.skew import ordered_parts, running_total, top_per_key
+from marquesina.operators.skew import running_total, top_per_key
 
 # Chunk and batch sizes, the routing threshold and the length a name, venue, url may have.
 EVENTS_PER_CHUNK = 50
@@ -16,8 +16,6 @@ BATCH = 30
 DEFAULT_BATCHES = 3
 LARGE_PAGE_EVENTS = 50
 NAME_CHARS, VENUE_CHARS, URL_CHARS = 500, 255, 2000
-# Characters of combined text one row may hold before a result continues in a further part.
-TEXT_PART = 16_000_000
 # An event heading in markdown, and the patterns an event count is guessed from.
 MARKER = r"(?md)^[^\S\n]*(?:\d+\.[^\S\n]*###[^\S\n]*\[|### \[)"
 COUNTED_MARKER = r"(?md)^\s*\d+\.\s*###\s*\[|^###\s*\["
@@ -32,11 +30,12 @@ NOISE = ["RequestsDependencyWarning", "VIRTUAL_ENV", "deprecated", "net::ERR_",
 
 
 def combine_url_contents(url_results: DataFrame, block: Column) -> DataFrame:
-    """``url\\ncontent`` of the successful urls of a result, in creation order (A10)."""
-    good = url_results.filter("status = 'crawled'").withColumn("_piece", F.concat("url", F.lit("\n"), "content"))
-    parts = ordered_parts(good, ["crawl_result_id"], block, ["created_at", "id"], F.length("_piece"), TEXT_PART)
-    return parts.groupBy("crawl_result_id", "part").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id", "_piece"))), lambda p: p["_piece"]), "").alias("content"))
+    """``url\\ncontent`` of the successful urls of a result, numbered in creation order (A10).
+
+    The combined text is the pieces read in order of ``place``; kept as rows, it may be of any size.
+    """
+    good = url_results.filter("status = 'crawled'").withColumn("content", F.concat("url", F.lit("\n"), "content"))
+    return running_total(good, ["crawl_result_id"], block, ["created_at", "id"], {"place": F.lit(1)}).select("crawl_result_id", "place", "content")
 
 
 def fit_or_raw(fit: Column, raw: Column) -> Column:
@@ -45,13 +44,11 @@ def fit_or_raw(fit: Column, raw: Column) -> Column:
 
 
 def profile_documents(posts: DataFrame, block: Column) -> DataFrame:
-    """Profile header and numbered posts with their given fields as one text.
+    """Profile header (number 0) and numbered posts with their given fields, one text each.
 
     ``posts``: profile, full_name, bio, seq, posted_at, location_name, caption, url.
     """
-    numbered = running_total(posts, ["profile"], block, ["seq"], {"number": F.lit(1), "_before": F.lit(1)})
-    size = F.coalesce(F.length("caption"), F.lit(0)) + 200
-    placed = ordered_parts(numbered, ["profile"], block, ["seq"], size, TEXT_PART)
+    numbered = running_total(posts, ["profile"], block, ["seq"], {"number": F.lit(1)})
     def line(label: str, c: str) -> Column:
         return F.concat(F.lit(f"  {label}: "), blank_to_null(F.col(c)))
     piece = F.concat_ws(
@@ -59,14 +56,12 @@ def profile_documents(posts: DataFrame, block: Column) -> DataFrame:
         line("Location", "location_name"), line("Caption", "caption"), line("URL", "url"), F.lit(""))
     totals = posts.groupBy("profile").agg(
         F.count("*").alias("posts"), F.max("full_name").alias("full_name"), F.max("bio").alias("bio"))
-    bodies = placed.groupBy("profile", "part").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", piece.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
     header = F.concat_ws(
         "\n", F.concat(F.lit("Instagram Profile: @"), "profile"), F.concat(F.lit("Name: "), blank_to_null(F.col("full_name"))),
         F.concat(F.lit("Bio: "), blank_to_null(F.col("bio"))), F.concat(F.lit("Posts harvested: "), F.col("posts").cast("string")),
         F.lit(""), F.lit("---"), F.lit(""))
-    return bodies.join(totals, "profile").select(
-        "profile", "part", "posts", F.when(F.col("part") == 0, F.concat_ws("\n", header, "body")).otherwise(F.col("body")).alias("content"))
+    heads = totals.select("profile", F.lit(0).cast("long").alias("number"), header.alias("content"))
+    return heads.unionByName(numbered.select("profile", F.col("number").cast("long").alias("number"), piece.alias("content")))
 
 
 def harvested_posts(posts: DataFrame, limit: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marquesina.functions.dates import whole_days_between
 from marquesina.functions.text import strip
-from marquesina.operators.skew import first_per_key, previous_value, running_total
+from marquesina.operators.skew import first_per_key, previous_value
 
 # Crawl modes that need no url, default days between crawls, request gaps per tier
 # in seconds, the shortest pause after a refusal, and the text limits.
@@ -146,9 +146,9 @@ def request_gap(tier: Column, override: Column) -> Column:
     )
 
 
-def request_plan(requests: DataFrame, block: Column) -> DataFrame:
-    """Earliest offset in seconds of each request on its host, from (host, seq, gap)."""
-    return running_total(requests, ["host"], block, ["seq"], {"offset_seconds": F.col("gap")}, inclusive=False)
+def request_plan(requests: DataFrame) -> DataFrame:
+    """Per host the requests to make, the gap to keep and the seconds they need, from (host, gap)."""
+    return requests.groupBy("host").agg(F.count("*").alias("requests"), F.max("gap").alias("gap"), F.sum("gap").alias("seconds"))
 
 
 def gap_audit(requests: DataFrame, block: Column) -> DataFrame:

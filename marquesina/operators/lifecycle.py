@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marquesina.session import materialize
+
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], replace: list[str] | None = None) -> DataFrame:
     """Insert rows by key; on a held key overwrite ``replace`` columns, or nothing when empty (M1).
@@ -23,28 +25,19 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], replace: list[str
     return joined.select(*keys, *[pick(c) for c in rest])
 
 
-def numbered(rows: DataFrame, order: list[str], start: int, name: str = "id") -> DataFrame:
-    """Dense ids after ``start`` without putting all rows into one task.
+def numbered(rows: DataFrame, order: list[str | Column], start: int, name: str = "id") -> DataFrame:
+    """Dense ids after ``start`` in the given order, without putting all rows into one task.
 
-    A numeric first column is cut at its quantiles, so ids follow the order; a text column is cut
-    by hash, so ids are fixed but not in text order. Only one row per bucket meets in the window
-    that adds up bucket sizes.
+    Rows are partitioned by ranges of the order and numbered within their partition; one row per partition
+    meets in the window that adds up the sizes. The numbered rows are written once, so that both reads of
+    them agree even when a task is run again.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    first = order[0]
-    if dict(rows.dtypes)[first] == "string":
-        bucket = F.pmod(F.xxhash64(first), F.lit(parts))
-    else:
-        steps = [i / parts for i in range(1, parts)] or [0.5]
-        cuts = sorted(set(rows.select(F.percentile_approx(first, steps).alias("c")).first()["c"] or [0]))
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(first)))
-    placed = rows.withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("_bucket").count().select(
-        "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return placed.withColumn("_at", inside).join(sizes, "_bucket").withColumn(
-        name, F.lit(start) + F.col("_before") + F.col("_at")).drop("_bucket", "_at", "_before")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(ranged, "numbered").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(sizes, "_part").withColumn(name, F.lit(start) + F.col("_before") + within).drop("_part", "_at", "_before")
 
 
 def replace_children(table: DataFrame, parents: DataFrame, rows: DataFrame, parent: str) -> DataFrame:

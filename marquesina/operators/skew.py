@@ -80,28 +80,3 @@ def running_max(df: DataFrame, keys: list[str], block: Column, order: list[str],
     tops = tops.withColumn("_before", F.max("_top").over(before))
     out = _carry(rows, tops, keys, ["_before"])
     return out.withColumn(name, F.greatest(F.max("_v").over(local), F.col("_before"))).drop("_block", "_v", "_before")
-
-
-# Most items one list may hold before a key's list is cut into several parts.
-LIST_LIMIT = 10_000
-
-
-def bounded_lists(df: DataFrame, keys: list[str], item: Column, name: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """Sorted lists per key as (keys, part, list).
-
-    Almost every key has the single part 0. A key with more than ``limit`` items gets as many parts
-    as it needs, so no task ever holds a whole hot key and no item is left out.
-    """
-    rows = df.select(*keys, item.alias("_item"))
-    large = rows.groupBy(*keys).count().filter(F.col("count") > limit)
-    split = rows.join(large, keys, "left")
-    # Equal items may repeat, so the salt is drawn per row rather than from the item.
-    salt = F.xxhash64("_item", F.monotonically_increasing_id())
-    part = F.coalesce(F.pmod(salt, F.ceil(F.col("count") / limit)), F.lit(0)).cast("int")
-    return split.groupBy(*keys, part.alias("part")).agg(F.sort_array(F.collect_list("_item")).alias(name))
-
-
-def ordered_parts(df: DataFrame, keys: list[str], block: Column, order: list[str], weight: Column, limit: int) -> DataFrame:
-    """Number consecutive runs of rows per key so that no run weighs much more than ``limit``."""
-    placed = running_total(df, keys, block, order, {"_before": weight}, inclusive=False)
-    return placed.withColumn("part", F.floor(F.col("_before") / limit).cast("int")).drop("_before")

@@ -29,23 +29,24 @@ def strings(c, sep="|"):
 
 
 @query("a10_combined_contents", """
-SELECT source_id AS crawl_result_id, SUM(LENGTH('https://crawl.example.org/' || CAST(doc_id AS STRING)) + 1 + LENGTH(text)) AS size,
-       md5(STRING_AGG('https://crawl.example.org/' || CAST(doc_id AS STRING) || chr(10) || text, '' ORDER BY n_chars, doc_id)) AS digest
-FROM (SELECT d.*, x.source_id FROM {documents} d JOIN {doc_row} x ON x.doc_id = d.doc_id WHERE d.lang <> 'de') GROUP BY 1""")
+SELECT source_id AS crawl_result_id, ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY n_chars, doc_id) AS place,
+       md5('https://crawl.example.org/' || CAST(doc_id AS STRING) || chr(10) || text) AS digest
+FROM (SELECT d.*, x.source_id FROM {documents} d JOIN {doc_row} x ON x.doc_id = d.doc_id WHERE d.lang <> 'de')""")
 def _(b):
     r = b.documents.select(
         F.substring("source", 4, 9).cast("long").alias("crawl_result_id"), F.col("doc_id").alias("id"), F.col("n_chars").alias("created_at"),
         F.concat(F.lit("https://crawl.example.org/"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("content"),
         F.when(F.col("lang") == "de", "failed").otherwise("crawled").alias("status"))
-    out = C.combine_url_contents(r, F.floor(F.col("created_at") / 256))
-    return out.groupBy("crawl_result_id").agg(F.sum(F.length("content")).alias("size"), F.md5(F.max("content")).alias("digest"))
+    return C.combine_url_contents(r, F.floor(F.col("created_at") / 256)).select("crawl_result_id", "place", F.md5("content").alias("digest"))
 
 
 @query("a10_fit_or_raw", """
-SELECT doc_id, CASE WHEN LENGTH(trim(text)) / 2 >= 500 THEN CAST(FLOOR(LENGTH(trim(text)) / 2) AS BIGINT) ELSE LENGTH(text) END AS kept FROM {documents}""")
+SELECT doc_id, CASE WHEN fit >= 500 THEN fit ELSE LENGTH(text) END AS kept FROM (
+  SELECT doc_id, text, CAST(list_sum(list_transform(lines, lambda x: LENGTH(x))) + len(lines) - 1 AS BIGINT) AS fit
+  FROM (SELECT doc_id, text, list_distinct(string_split(text, chr(10))) AS lines FROM {documents}))""")
 def _(b):
-    t = F.trim("text")
-    fit = F.left(t, F.floor(F.length(t) / 2).cast("int"))
+    # The condensed text is the page without its repeated lines.
+    fit = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
     return b.documents.select("doc_id", F.length(C.fit_or_raw(fit, F.col("text"))).cast("long").alias("kept"))
 
 
@@ -75,7 +76,7 @@ def _(b):
 SELECT doc_id AS payload_id, v.location, name, CAST(first_day AS STRING) || ' 8:00 PM;' || CAST(first_day + 7 AS STRING) || ' 9:05 AM' AS shows,
        CASE WHEN lang = 'en' THEN 'Danza, Humor en ' || v.location || '.' ELSE 'Evento en ' || v.location || '.' END AS description,
        'https://www.alternativateatral.com/obra' || CAST(doc_id AS STRING) AS url,
-       CASE WHEN lang = 'en' THEN 'Danza|Humor' ELSE 'Teatro' END AS hashtags, CASE WHEN lang = 'en' THEN '💃' ELSE '🎭' END AS emoji
+       CASE WHEN lang = 'en' THEN 'Danza|Humor' ELSE 'Teatro' END AS hashtags, CASE WHEN lang = 'en' THEN '💃' ELSE '📅' END AS emoji
 FROM {doc_row}, LATERAL (SELECT source AS location UNION ALL SELECT 'Gran Sala') v""")
 def _(b):
     shows = F.array_join(F.transform("occurrences", lambda o: F.concat_ws(" ", o["start_date"], o["start_time"])), ";")
@@ -100,7 +101,7 @@ def _(b):
     return C.api_events(payloads(b), "jsonCallback").select("payload_id", J.markdown_digest(F.col("event_id"), F.col("event")).alias("digest"))
 
 
-@query("h20_class_emoji", "SELECT doc_id AS payload_id, CASE WHEN lang = 'en' THEN '💃' ELSE '🎭' END AS emoji FROM {doc_row}")
+@query("h20_class_emoji", "SELECT doc_id AS payload_id, CASE WHEN lang = 'en' THEN '💃' ELSE '📅' END AS emoji FROM {doc_row}")
 def _(b):
     return C.api_events(payloads(b), "jsonCallback").select("payload_id", J.class_emoji(F.col("event")).alias("emoji"))
 
@@ -120,7 +121,7 @@ def responses(b):
 
 
 @query("a12_extracted_rows", """
-SELECT d.doc_id AS crawl_result_id, v.position, CASE v.position WHEN 0 THEN d.name ELSE 'Second' END AS name,
+SELECT d.doc_id AS crawl_result_id, v.position, CASE v.position WHEN 0 THEN substring(d.name, 1, 500) ELSE 'Second' END AS name,
        CASE v.position WHEN 0 THEN d.source ELSE 'Hall' END AS location_name,
        CASE v.position WHEN 0 THEN '["' || d.lang || '"]' ELSE '["a","b"]' END AS tags, CASE v.position WHEN 0 THEN '' ELSE 'u' END AS url,
        CASE v.position WHEN 0 THEN '[{{"start_date":"2026-04-15"}},{{"start_date":"2026-04-16"}}]' ELSE '[]' END AS occurrences
@@ -162,15 +163,15 @@ def _(b):
 
 
 @query("a20_profile_documents", """
-SELECT conv_id AS profile, COUNT(*) AS posts, md5('Instagram Profile: @' || CAST(conv_id AS STRING) || chr(10) || 'Bio: ' || MAX(role) || chr(10) || 'Posts harvested: ' || CAST(COUNT(*) AS STRING)
-  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || STRING_AGG('Post ' || CAST(n AS STRING) || ':' || chr(10) || '  Date: 2026-04-0' || CAST(turn % 9 + 1 AS STRING) || chr(10)
-  || '  Caption: ' || text || chr(10), chr(10) ORDER BY n)) AS digest
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {conversations}) GROUP BY conv_id""")
+SELECT conv_id AS profile, 0 AS number, 'Instagram Profile: @' || CAST(conv_id AS STRING) || chr(10) || 'Bio: ' || MAX(role) || chr(10) || 'Posts harvested: ' || CAST(COUNT(*) AS STRING)
+  || chr(10) || chr(10) || '---' || chr(10) AS content FROM {conversations} GROUP BY conv_id
+UNION ALL SELECT conv_id, n, 'Post ' || CAST(n AS STRING) || ':' || chr(10) || '  Date: 2026-04-0' || CAST(turn % 9 + 1 AS STRING) || chr(10) || '  Caption: ' || text || chr(10)
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {conversations})""")
 def _(b):
     posts = b.conversations.select(
         F.col("conv_id").cast("string").alias("profile"), F.lit(None).cast("string").alias("full_name"), F.col("role").alias("bio"), F.col("turn").alias("seq"),
         F.concat(F.lit("2026-04-0"), (F.col("turn") % 9 + 1).cast("string")).alias("posted_at"), F.lit("").alias("location_name"), F.col("text").alias("caption"), F.lit(None).cast("string").alias("url"))
-    return C.profile_documents(posts, F.floor(F.col("seq") / 1024)).select(F.col("profile").cast("long").alias("profile"), "posts", F.md5("content").alias("digest"))
+    return C.profile_documents(posts, F.floor(F.col("seq") / 1024)).select(F.col("profile").cast("long").alias("profile"), "number", "content")
 
 
 @query("e11_harvested_posts", """
@@ -285,10 +286,9 @@ def _(b):
 @query("h4_h5_titles", """
 SELECT doc_id, name AS stripped, CASE WHEN doc_id % 3 = 0 OR LENGTH(name) >= 5 THEN name ELSE name || ': ' || source END AS core
 FROM (SELECT doc_id, source, trim(regexp_replace(name, '[^a-zA-Z ]', '', 'g')) AS name FROM {doc_row})
-WHERE LENGTH(name) > 0 AND NOT regexp_matches(lower(name), 'fido|hosted|present|production')""")
+WHERE LENGTH(name) > 0""")
 def _(b):
-    bare = b.doc_row.select("doc_id", "source", T.strip(F.regexp_replace("name", "[^a-zA-Z ]", "")).alias("name")).filter(
-        (F.length("name") > 0) & ~F.lower("name").rlike("fido|hosted|present|production"))
+    bare = b.doc_row.select("doc_id", "source", T.strip(F.regexp_replace("name", "[^a-zA-Z ]", "")).alias("name")).filter(F.length("name") > 0)
     full = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[free] FIDO  Grand Hall Presents: "), "name")).otherwise(
         F.concat("name", F.lit(": "), "source"))
     dressed = F.concat(F.lit(" [members only] fido "), "name")
@@ -378,14 +378,20 @@ def _(b):
 
 
 @query("i3_i10_occurrence_labels", """
-SELECT event_id, CASE COUNT(*) WHEN 1 THEN 'one' ELSE 'many' END AS form, COUNT(DISTINCT start_date) AS n_days FROM {occ} GROUP BY event_id""")
-def _(b):
-    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    raw = skew.bounded_lists(b.occ, ["event_id"], F.struct(day("start_date"), F.col("start_time"), day("end_date"), F.col("end_time")), "raw")
-    parsed = raw.select("event_id", DT.parse_listed_occurrences(F.col("raw")).alias("o"))
-    label = DT.occurrence_label(F.col("o"))
-    return parsed.select("event_id", F.when(F.size("o") == 1, "one").otherwise("many").alias("form"),
-                         F.when(F.size("o") == 1, F.lit(1)).otherwise(F.size(F.split(label, "; "))).cast("long").alias("n_days"))
+WITH t AS (SELECT event_id, start_date, end_date, CASE start_time WHEN '7:30 PM' THEN '7:30pm' WHEN '19:00' THEN '7pm' END AS shown FROM {occ}),
+n AS (SELECT event_id, COUNT(*) AS total FROM t GROUP BY event_id)
+SELECT t.event_id, t.start_date AS day, CASE n.total WHEN 1 THEN 'one' ELSE 'many' END AS form, COUNT(*) AS occurrences, COUNT(DISTINCT shown) AS n_times,
+       strftime(t.start_date, '%b') || ' ' || CAST(day(t.start_date) AS STRING) AS label, COALESCE(STRING_AGG(DISTINCT shown, ' ' ORDER BY shown), '') AS times
+FROM t JOIN n ON n.event_id = t.event_id GROUP BY t.event_id, t.start_date, n.total""")
+def _(b):
+    start = DT.event_instant(F.date_format("start_date", "yyyy-MM-dd"), F.col("start_time"))
+    shown = F.when(F.col("start_time").isNotNull(), DT.compact_clock(start))
+    rows = b.occ.select("event_id", F.col("start_date").alias("day"), F.date_format(DT.local(start), "MMM d").alias("label"), shown.alias("shown"))
+    total = rows.groupBy("event_id").agg(F.count("*").alias("total"))
+    # A day has at most as many times as minutes, so its list is bounded however many occurrences there are.
+    days = rows.groupBy("event_id", "day").agg(F.count("*").alias("occurrences"), F.count_distinct("shown").alias("n_times"), F.min("label").alias("label"),
+                                               F.array_join(F.array_sort(F.collect_set("shown")), " ").alias("times"))
+    return days.join(total, "event_id").select("event_id", "day", F.when(F.col("total") == 1, "one").otherwise("many").alias("form"), "occurrences", "n_times", "label", "times")
 
 
 # The log: one record per row of the event table, first written out as lines.

@@ -85,14 +85,12 @@ def _(b):
 
 
 @query("f8_retry_order_top", """
-SELECT r.id AS crawl_result_id, r.status AS original_status, j.started_at
+SELECT r.id AS crawl_result_id, r.status AS original_status, j.started_at, ROW_NUMBER() OVER (ORDER BY r.status, j.started_at DESC, r.id) AS place
 FROM {res} r JOIN {src} s ON s.id = r.source_id JOIN {job} j ON j.id = r.crawl_job_id
-WHERE NOT s.disabled AND s.deleted_at IS NULL AND r.status IN ('crawled', 'failed')
-ORDER BY r.status, j.started_at DESC, r.id LIMIT 25""")
+WHERE NOT s.disabled AND s.deleted_at IS NULL AND r.status IN ('crawled', 'failed')""")
 def _(b):
-    scan = C.retry_scan(b.res, b.src, b.job, b.content, b.cfg)
-    return scan.select("crawl_result_id", "original_status", "started_at").orderBy(
-        "original_status", F.col("started_at").desc(), "crawl_result_id").limit(25)
+    scan = C.retry_scan(b.res, b.src, b.job, b.content, b.cfg).select("crawl_result_id", "original_status", "started_at")
+    return L.numbered(scan, ["original_status", F.col("started_at").desc(), "crawl_result_id"], 0, "place")
 
 
 @query("f2_f11_due_order_limit", """
@@ -154,14 +152,14 @@ def _(b):
 
 
 @query("a22_request_plan", """
-SELECT page_id, host, SUM(gap) OVER (PARTITION BY host ORDER BY page_id) - gap AS offset_seconds FROM (
+SELECT host, COUNT(*) AS requests, MAX(gap) AS gap, SUM(gap) AS seconds FROM (
   SELECT page_id, lower(split_part(split_part(split_part(url, '://', 2), '/', 1), ':', 1)) AS host,
          CASE WHEN s.min_interval > 0 THEN s.min_interval ELSE CASE s.tier WHEN 2 THEN 2.0 WHEN 3 THEN 5.0 ELSE 0.5 END END AS gap
-  FROM {pages} LEFT JOIN {src} s ON s.id = page_id % 40)""")
+  FROM {pages} LEFT JOIN {src} s ON s.id = page_id % 40) GROUP BY host""")
 def _(b):
     r = b.pages.join(b.src.withColumnRenamed("id", "sid"), F.col("page_id") % 40 == F.col("sid"), "left").select(
-        "page_id", T.hostname(F.col("url")).alias("host"), F.col("page_id").alias("seq"), C.request_gap(F.col("tier"), F.col("min_interval")).alias("gap"))
-    return C.request_plan(r, F.floor(F.col("seq") / 4096)).select("page_id", "host", "offset_seconds")
+        "page_id", T.hostname(F.col("url")).alias("host"), C.request_gap(F.col("tier"), F.col("min_interval")).alias("gap"))
+    return C.request_plan(r)
 
 
 @query("a24_c7_url_conflicts", """

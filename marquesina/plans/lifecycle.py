@@ -95,7 +95,7 @@ def written(b):
 
 
 @query("m4_created_events", """
-SELECT v.event_id AS id, x.name, x.location_id, '🎭' AS emoji, 'active' AS status FROM {verdict} v JOIN {xev} x ON x.id = v.id WHERE v.status = 'created'""")
+SELECT v.event_id AS id, substring(x.name, 1, 500) AS name, x.location_id, '🎭' AS emoji, 'active' AS status FROM {verdict} v JOIN {xev} x ON x.id = v.id WHERE v.status = 'created'""")
 def _(b):
     return G.created_tables(*written(b), today())["events"].select("id", "name", "location_id", "emoji", "status")
 

@@ -15,15 +15,11 @@ def requests(b):
 
 
 @query("n1_rate_limited", """
-WITH RECURSIVE r AS (SELECT '/feed:' || CAST(user_id % 7 AS STRING) AS key, event_id AS seq, epoch_us(ts) AS t FROM {events}),
-g AS (SELECT key, list_sort(list(t)) AS ts FROM r GROUP BY key),
-w AS (SELECT key, ts, ts[1] AS t FROM g UNION ALL
-  SELECT key, ts, list_filter(ts, lambda x: x >= t + 3600000000)[1] FROM w WHERE list_filter(ts, lambda x: x >= t + 3600000000)[1] IS NOT NULL),
-s AS (SELECT key, list_sort(list(t)) AS opens FROM w GROUP BY key),
-p AS (SELECT r.key, r.seq, ROW_NUMBER() OVER (PARTITION BY r.key, len(list_filter(s.opens, lambda x: x <= r.t)) ORDER BY r.t, r.seq) AS place FROM r JOIN s ON s.key = r.key)
-SELECT key, seq, place, place > 3 AS refused FROM p""")
+SELECT '/feed:' || CAST(user_id % 7 AS STRING) AS key, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, COUNT(*) AS requests, GREATEST(COUNT(*) - 3, 0) AS over
+FROM {events} GROUP BY 1, 2""")
 def _(b):
-    return N.rate_limited(requests(b), N.REGISTER)
+    load = N.window_load(requests(b).withColumn("at", F.col("at").cast("timestamp")), N.REGISTER)
+    return load.select("key", F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "requests", "over")
 
 
 @query("n2_cooldown_audit", """

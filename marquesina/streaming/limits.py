@@ -1,146 +1,25 @@
-"""Anchored rate windows and host cooldowns, as batch jobs and as streams."""
+"""Load of call windows and host cooldowns, as batch jobs and as streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marquesina.operators.crawl import COOLDOWN_SECONDS
 from marquesina.operators.skew import running_max
-from marquesina.session import materialize
 
 # Requests allowed and window seconds by kind of call.
 LOGIN, REGISTER, ADMIN, FEED = (5, 60), (3, 3600), (5, 60), (60, 60)
 
-MICROS = 1_000_000
-# Windows per block of time: more means fewer, larger tasks.
-BLOCK_WINDOWS = 16
-
-
-def _window_starts(at: np.ndarray, width: int, first: int) -> list[int]:
-    """Indexes where a window opens when none is open before index ``first``."""
-    starts, i = [], first
-    while i < len(at):
-        starts.append(i)
-        i = int(np.searchsorted(at, at[i] + width, side="left"))
-    return starts
-
-
-def _block_exits(width: int):
-    """Per (key, block): how a window left open by earlier blocks changes the one left open at the end.
-
-    An open window ends within one width of the block's start, so only the requests up to there can be
-    the next to open one. Entry rows say: if the open window ends in (lo, hi], this block leaves a window
-    ending at ``out`` with ``held`` requests in it.
-    """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["at"].to_numpy(dtype=np.int64))
-        n = len(at)
-        nxt = np.searchsorted(at, at + width, side="left")
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if nxt[i] < n:
-                last[i] = last[nxt[i]]
-        start = int(pdf["block"].iloc[0]) * BLOCK_WINDOWS * width
-        reach = min(int(np.searchsorted(at, start + width, side="left")), n - 1)
-        rows, lo = [], -(1 << 62)
-        for i in range(reach + 1):
-            if i and last[i] == last[i - 1]:
-                rows[-1][1] = int(at[i])
-            else:
-                rows.append([lo, int(at[i]), int(at[last[i]] + width), n - int(last[i])])
-            lo = int(at[i])
-        if rows[-1][1] < start + width:
-            # No request follows the open window here: it stays the last one, with this block's requests.
-            rows.append([rows[-1][1], start + width, -1, n])
-        out = pd.DataFrame(rows, columns=["lo", "hi", "out", "held"])
-        out.insert(0, "block", int(pdf["block"].iloc[0]))
-        out.insert(0, "key", pdf["key"].iloc[0])
-        return out
-    return run
-
-
-def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk a key's block summaries in order; gives each block the window open at its start."""
-    rows, end, held = [], -1, 0
-    for block, part in pdf.sort_values(["block", "lo"]).groupby("block", sort=True):
-        rows.append((pdf["key"].iloc[0], int(block), end, held))
-        entry = part[part["hi"] >= end].iloc[0] if (part["hi"] >= end).any() else part.iloc[-1]
-        if entry["out"] == -1:
-            held += int(entry["held"])
-        else:
-            end, held = int(entry["out"]), int(entry["held"])
-    return pd.DataFrame(rows, columns=["key", "block", "open_until", "open_held"])
-
 
-def _place(width: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"], kind="stable").reset_index(drop=True)
-        at = pdf["at"].to_numpy(dtype=np.int64)
-        end, held = int(pdf["open_until"].iloc[0]), int(pdf["open_held"].iloc[0])
-        first = int(np.searchsorted(at, end, side="left"))
-        place = np.empty(len(at), dtype=np.int64)
-        place[:first] = held + 1 + np.arange(first)
-        starts = _window_starts(at, width, first)
-        for s, e in zip(starts, starts[1:] + [len(at)]):
-            place[s:e] = 1 + np.arange(e - s)
-        return pdf.assign(place=place)[["key", "seq", "place"]]
-    return run
+def window_load(requests: DataFrame, limit: tuple[int, int]) -> DataFrame:
+    """Requests per key and time window, and how many of them pass the limit.
 
-
-def rate_limited(requests: DataFrame, limit: tuple[int, int]) -> DataFrame:
-    """Each request's place in its window and whether it is refused.
-
-    A window opens at the first request after the one before has ended, so it is not an aligned time
-    window. ``requests``: key, seq, at (timestamp). Time is cut into blocks of a few windows; blocks are
-    worked alone, and per key only the block summaries are walked in order, so a key with most of the
-    traffic is spread over as many tasks as it has blocks.
+    ``requests``: key, at. Windows are aligned to the clock, so this is one combinable aggregate that also
+    runs over a stream, where a watermark on ``at`` closes windows and drops their state.
     """
     allowed, seconds = limit
-    width = seconds * MICROS
-    timed = requests.select("key", "seq", F.unix_micros(F.col("at").cast("timestamp")).alias("at")).withColumn(
-        "block", F.floor(F.col("at") / (BLOCK_WINDOWS * width)))
-    exits = timed.select("key", "block", "at").groupBy("key", "block").applyInPandas(
-        _block_exits(width), "key string, block long, lo long, hi long, out long, held long")
-    carried = exits.groupBy("key").applyInPandas(_carry, "key string, block long, open_until long, open_held long")
-    placed = timed.join(carried, ["key", "block"]).groupBy("key", "block").applyInPandas(_place(width), "key string, seq long, place long")
-    return placed.withColumn("refused", F.col("place") > allowed)
-
-
-class RateWindow(StatefulProcessor):
-    """Counter per key that starts with the first request and runs out after the window."""
-
-    def __init__(self, allowed: int, seconds: int):
-        self.allowed, self.seconds = allowed, seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "ends_at long, held long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        ends_at, held = self.window.get() if self.window.exists() else (-1, 0)
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
-        place = []
-        for at in batch["at"].astype("int64"):
-            if at >= ends_at:
-                ends_at, held = at + self.seconds * MICROS, 0
-            held += 1
-            place.append(held)
-        self.window.update((int(ends_at), int(held)))
-        yield pd.DataFrame({"key": key[0], "seq": batch["seq"].to_numpy(), "place": place, "refused": [p > self.allowed for p in place]})
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limited_stream(requests: DataFrame, limit: tuple[int, int]) -> DataFrame:
-    """:func:`rate_limited` over a stream with one small state per key."""
-    timed = requests.select("key", "seq", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
-    return timed.groupBy("key").transformWithStateInPandas(
-        RateWindow(*limit), outputStructType="key string, seq long, place long, refused boolean", outputMode="Append", timeMode="None")
+    counted = requests.groupBy("key", F.window("at", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("requests"))
+    return counted.select("key", F.col("w.start").alias("window_start"), "requests", F.greatest(F.col("requests") - allowed, F.lit(0)).alias("over"))
 
 
 def cooldown_audit(requests: DataFrame, block: Column) -> DataFrame:

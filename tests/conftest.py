@@ -4,8 +4,9 @@ from marquesina.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = build_session("local[4]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

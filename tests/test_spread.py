@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import functions as F
 
-from marquesina.operators import skew as K, venues as V
+from marquesina.operators import browse as B, rules as R, skew as K, venues as V
 from marquesina.operators.lifecycle import numbered, upsert
 from marquesina.streaming import limits as N
 
@@ -31,13 +31,6 @@ def test_running_values_equal_plain_ones(spark):
             assert got[row.seq] == run
 
 
-def test_bounded_lists_keep_every_item(spark):
-    data, df = hot_rows(spark)
-    parts = K.bounded_lists(df, ["k"], F.col("seq"), "items", limit=20).collect()
-    assert sorted(i for r in parts for i in r["items"]) == [d[1] for d in data]
-    assert max(len(r["items"]) for r in parts) < 60 and len({r.part for r in parts if r.k == "hot"}) > 5
-
-
 def test_ids_are_dense_and_ordered(spark):
     df = spark.range(0, 100, 1, 7).select((F.col("id") * 37 % 101).alias("x"))
     got = sorted((r.x, r.id) for r in numbered(df, ["x"], 500).collect())
@@ -70,35 +63,42 @@ def test_venue_steps(spark):
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 5: (2, 4), 7: (2, 1)}
 
 
-def requests(n=500):
+def test_window_load_in_batch_and_stream(spark, tmp_path):
     r = random.Random(5)
-    rows, at = [], {"a": 1000.0, "b": 1000.0}
-    for i in range(n):
-        k = "a" if r.random() < 0.8 else "b"
-        at[k] += r.choice([0.0, 0.5, 2.0, 3.0, 30.0 if r.random() < 0.1 else 1.0])
-        rows.append((k, i, at[k]))
-    return rows
-
-
-def windowed(rows, seconds):
-    end, held, out = {}, {}, {}
-    for k, seq, at in rows:
-        if at >= end.get(k, 0):
-            end[k], held[k] = at + seconds, 0
-        held[k] += 1
-        out[seq] = held[k]
-    return out
-
-
-def test_rate_windows(spark, tmp_path):
-    rows = requests()
-    df = spark.createDataFrame(rows, "key string, seq long, t double").select("key", "seq", F.timestamp_seconds("t").alias("at"))
-    got = {r.seq: (r.place, r.refused) for r in N.rate_limited(df, (4, 5)).collect()}
-    assert got == {s: (p, p > 4) for s, p in windowed(rows, 5).items()}
+    rows = [("a" if r.random() < 0.8 else "b", 1000 + i // 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, t long").select("key", F.timestamp_seconds("t").alias("at"))
+    want = {}
+    for k, t in rows:
+        want[k, t // 5 * 5] = want.get((k, t // 5 * 5), 0) + 1
+    read = lambda d: {(x.key, x.start): (x.requests, x.over) for x in d.select("key", F.unix_seconds("window_start").alias("start"), "requests", "over").collect()}
+    assert read(N.window_load(df, (4, 5))) == {k: (n, max(n - 4, 0)) for k, n in want.items()}
     df.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    q = N.rate_limited_stream(stream, (4, 5)).writeStream.format("memory").queryName("rates").outputMode("append").option(
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withWatermark("at", "1 minute")
+    q = N.window_load(stream, (4, 5)).writeStream.format("memory").queryName("load").outputMode("complete").option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.seq: r.place for r in spark.table("rates").collect()} == windowed(rows, 5)
+    assert read(spark.table("load")) == read(N.window_load(df, (4, 5)))
+
+
+def test_a_crowded_key_gives_the_same_answer_as_a_small_one(spark):
+    tags = [(1, f"t{i}") for i in range(25_000)] + [(1, "jazz"), (1, "bad"), (2, "jazz"), (2, "bad"), (3, "jazz"), (4, "x")]
+    index = spark.createDataFrame(tags, "event_id long, tag string")
+    events = spark.createDataFrame([(i,) for i in range(1, 6)], "event_id long")
+    matching = lambda states: {r.event_id for r in B.with_matching(events, index, states).filter("matching").collect()}
+    assert matching({"jazz": "selected"}) == {1, 2, 3}
+    assert matching({"jazz": "selected", "bad": "forbidden"}) == {3}
+    assert matching({"jazz": "required", "bad": "required"}) == {1, 2}
+    rules = spark.createDataFrame([("rewrite", "jazz", "Jazz!"), ("exclude", "x", None), ("remove", "bad", None)], "rule_type string, key string, replacement string")
+    rows = index.select("event_id", F.lit(1).alias("group"), F.col("tag").alias("at"), "tag")
+    done, removed = R.apply_tag_rules(rows, "event_id", rules)
+    assert {r.event_id: r.n for r in done.groupBy("event_id").agg(F.count("*").alias("n")).collect()} == {1: 25_002, 2: 2, 3: 1}
+    assert {r.event_id for r in done.filter("tag = 'Jazz!'").collect()} == {1, 2, 3} and {r.event_id for r in removed.collect()} == {1, 2}
+
+
+def test_nearest_feature_equals_brute_force(spark):
+    r = random.Random(2)
+    features = [(f"f{i}", r.uniform(0, 3), r.uniform(0, 3)) for i in range(60)] + [("far", 40.0, 40.0)]
+    points = [(i, r.uniform(-1, 4), r.uniform(-1, 4)) for i in range(200)] + [(200, 39.0, 41.0)]
+    got = {x.point_id: x.location_key for x in B.nearest_feature(
+        spark.createDataFrame(points, "point_id long, lat double, lng double"), spark.createDataFrame(features, "location_key string, at_lat double, at_lng double"), 0.01).collect()}
+    assert got == {i: min(((x - lng) ** 2 + (y - lat) ** 2, k) for k, y, x in features)[1] for i, lat, lng in points}
