@@ -53,6 +53,21 @@ def test_fuzzy_pairs_are_complete(spark):
     assert got == {(k, v) for k in WORDS for v in WORDS if SequenceMatcher(None, v, k).ratio() >= 0.85}
 
 
+def test_few_fuzzy_pairs_reach_the_ratio(spark):
+    r = random.Random(3)
+    names = sorted({"teatro " + "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(5, 12))) for _ in range(600)})
+    names += [n[:-1] + "x" for n in names[:20]]
+    keys = spark.createDataFrame([(n,) for n in names], "key string")
+    pairs = keys.crossJoin(keys.withColumnRenamed("key", "venue"))
+    full = pairs.withColumn("kl", V._letters(F.col("key"))).withColumn("kp", V._bigrams(F.col("key"))).withColumn("vl", V._letters(F.col("venue"))).withColumn("vp", V._bigrams(F.col("venue")))
+    assert V._within_bounds(full).count() < 0.02 * len(names) ** 2
+    got = {(x.key, x.venue) for x in V.fuzzy_pairs(keys, keys.withColumnRenamed("key", "venue")).collect()}
+    assert all((n, n[:-1] + "x") in got for n in names[:20])
+    sample = r.sample(names, 60)
+    want = {(k, v) for k in sample for v in sample if SequenceMatcher(None, v, k).ratio() >= 0.85}
+    assert want == {p for p in got if p[0] in sample and p[1] in sample}
+
+
 def test_venue_steps(spark):
     loc = spark.createDataFrame([(1, "Teatro Chacao", None, None), (2, "Sala Uno", "Calle 1", None), (3, "Old", None, "x")], "id long, name string, address string, deleted_at string")
     alias = spark.createDataFrame([(1, "Teatro Municipal de Chacao")], "location_id long, alternate_name string")
