@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquesina.functions import venues as VF
-from marquesina.operators import lifecycle as L, merging as G, skew, venues as V
+from marquesina.operators import lifecycle as L, merging as G, runs as U, skew, venues as V
 from marquesina.plans.bindings import DOCUMENTS_DAY, ORDERS_DAY
 from marquesina.plans.matching import golden, index_of
 from marquesina.plans.registry import query
@@ -88,6 +88,58 @@ def _(b):
     return G.with_event_ids(batch(b)[1].select("id", "source_id", "status", "is_new", "e"), 1_000_000).select("id", "status", "event_id")
 
 
+def merge_inputs(b):
+    rows = b.xev.join(b.labels.select(F.col("doc_id").alias("id")), "id", "left_anti").withColumn("short_name", F.lit("")).withColumn(
+        "description", F.col("tags")).withColumn("emoji", F.lit("🎭")).withColumn("sublocation", F.lit(None).cast("string"))
+    events = b.gold.select("id", "name", "location_id", "status", F.lit(None).cast("date").alias("deleted_at"))
+    occurrences = b.gold.select(F.col("id").alias("event_id"), F.explode(F.array("first_day", F.date_add("first_day", 7))).alias("start_date"))
+    links = b.gold.select(F.col("id").alias("event_id"), F.col("id").alias("extracted_event_id"), "source_id", F.lit(True).alias("is_primary"))
+    urls = b.gold.select(F.col("id").alias("event_id"), F.lit("u").alias("url"))
+    extracted = b.xev.select("id", "crawl_result_id")
+    results = b.res.select("id", "source_id", F.lit("processed").alias("status"))
+    return rows, events, occurrences, urls, links, b.loc, extracted, results
+
+
+@query("m3_merge_run_counts")
+def _(b):
+    return U.merge(*merge_inputs(b), 1_000_000, today())["counts"]
+
+
+@query("m3_merge_run_events")
+def _(b):
+    return U.merge(*merge_inputs(b), 1_000_000, today())["events"].select("id", "name", "location_id", "status")
+
+
+@query("m14_reprocessed_jobs", """
+SELECT r.id, CASE WHEN r.crawl_job_id % 3 = 0 AND r.status = 'processed' THEN 'extracted' ELSE r.status END AS status,
+       r.crawl_job_id % 3 = 0 AND r.id NOT IN (SELECT doc_id FROM {labels}) AS open FROM {res} r""")
+def _(b):
+    links = b.labels.select(F.col("doc_id").alias("extracted_event_id"))
+    back, rows = U.again(b.res, b.xev.select("id", "crawl_result_id"), links, b.res.filter("crawl_job_id % 3 = 0"))
+    flag = rows.select("id", F.lit(True).alias("open"))
+    return back.join(flag, "id", "left").select("id", "status", F.coalesce("open", F.lit(False)).alias("open"))
+
+
+@query("m2_prepared_venues", f"""
+WITH ln AS (SELECT id, lower(name) AS low, lower(address) AS addr, {bare('name')} AS key FROM {{loc}} WHERE deleted_at IS NULL),
+al AS (SELECT a.location_id AS id, {bare('alternate_name')} AS key FROM {{alias}} a JOIN ln ON ln.id = a.location_id),
+k AS (SELECT id, lower(location_name) AS low, lower(sublocation) AS sub, {bare('location_name')} AS key, trim({bare('location_name')} || ' ' || COALESCE({bare('sublocation')}, '')) AS full_key FROM {{ask}} WHERE location_name IS NOT NULL),
+h AS (SELECT k.id, 0 AS level, ln.id AS location_id FROM k JOIN ln ON ln.low = k.low WHERE k.sub IS NULL OR ln.addr IS NULL OR ln.addr = k.sub
+UNION ALL SELECT k.id, 1, ln.id FROM k JOIN ln ON ln.key = k.key UNION ALL SELECT k.id, 1, ln.id FROM k JOIN ln ON ln.key = k.full_key
+UNION ALL SELECT k.id, 2, al.id FROM k JOIN al ON al.key = k.key UNION ALL SELECT k.id, 2, al.id FROM k JOIN al ON al.key = k.full_key
+UNION ALL SELECT a.id, 4, ln.id FROM {{ask}} a JOIN ln ON ln.key = {bare('a.event_name')} WHERE a.location_name IS NOT NULL),
+b AS (SELECT id, arg_min(location_id, level * 1000000 + location_id) AS location_id FROM h GROUP BY id)
+SELECT a.id, b.location_id, CASE WHEN a.id % 5 = 0 THEN 1 ELSE 2 END AS n_tags FROM {{ask}} a LEFT JOIN b ON b.id = a.id WHERE a.id % 7 <> 0""")
+def _(b):
+    rules = b.spark.createDataFrame([("rewrite", "jazz", "Jazz"), ("exclude", "free", None), ("remove", "gone", None)], "rule_type string, key string, replacement string")
+    second = F.when(F.col("id") % 7 == 0, "Gone").when(F.col("id") % 5 == 0, "free").otherwise("open air")
+    x = b.ask.select("id", F.col("id").alias("crawl_result_id"), F.col("event_name").alias("name"), "location_name", "sublocation", "site_name",
+                     F.concat(F.lit('["jazz","'), second, F.lit('"]')).alias("tags"), F.lit(None).cast("string").alias("emoji"))
+    out = U.prepare(x, b.res, b.loc, b.alias, rules, fuzzy=False)
+    n = out["tags"].groupBy("id").agg(F.count("*").cast("int").alias("n_tags"))
+    return out["rows"].join(n, "id", "left").select("id", "location_id", "n_tags")
+
+
 def written(b):
     verdict = b.verdict
     rows = b.xev.withColumn("short_name", F.lit("")).withColumn("description", F.col("tags")).withColumn("emoji", F.lit("🎭")).withColumn("sublocation", F.lit(None).cast("string"))
