@@ -212,10 +212,17 @@ def _(b):
     return marked(b).select("doc_id", F.posexplode(C.chunk_by_events(F.col("text"), 20)).alias("chunk", "c")).select("doc_id", "chunk", F.md5("c").alias("digest"))
 
 
-@query("l2_chunks_by_size")
+# Pages here have no blank lines, so a long page is one long paragraph and is packed by lines.
+@query("l2_chunks_by_size", """
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents} WHERE LENGTH(text) > 1500),
+s AS (SELECT doc_id, ls, 1 AS i, 0 AS chunk, LENGTH(ls[1]) + 1 AS size FROM l UNION ALL
+  SELECT doc_id, ls, i + 1, CASE WHEN size + LENGTH(ls[i + 1]) + 1 > 1500 THEN chunk + 1 ELSE chunk END,
+         CASE WHEN size + LENGTH(ls[i + 1]) + 1 > 1500 THEN LENGTH(ls[i + 1]) + 1 ELSE size + LENGTH(ls[i + 1]) + 1 END FROM s WHERE i < len(ls)),
+c AS (SELECT doc_id, chunk, STRING_AGG(ls[i], chr(10) ORDER BY i) AS c FROM s GROUP BY doc_id, chunk)
+SELECT doc_id, chunk, LENGTH(c) AS size, md5(c) AS digest FROM c UNION ALL SELECT doc_id, 0, LENGTH(text), md5(text) FROM {documents} WHERE LENGTH(text) <= 1500""")
 def _(b):
     return b.documents.select("doc_id", F.posexplode(C.chunk_by_size(F.col("text"), 1500)).alias("chunk", "c")).select(
-        "doc_id", "chunk", F.length("c").alias("size"), F.md5("c").alias("digest"))
+        "doc_id", "chunk", F.length("c").cast("long").alias("size"), F.md5("c").alias("digest"))
 
 
 @query("l3_chunk_method", """
