@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquesina.functions import geo as G
@@ -50,12 +52,23 @@ def valid_feed_rows(rows: DataFrame, spans: DataFrame, app_start: Column, app_en
     return out
 
 
+def around_days(occurrences: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """Occurrences whose plain dates come within a day of the range; this test can reach the scan."""
+    day = dt.timedelta(days=1)
+    return occurrences.filter((F.col("start_date") <= F.lit(last + day)) & (F.coalesce("end_date", "start_date") >= F.lit(first - day)))
+
+
+def overlapping(occurrences: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Occurrences, as instants, that overlap a range of instants."""
+    return occurrences.filter((F.col("start") <= end) & (effective_end(F.col("start"), F.col("end")) >= start))
+
+
 def in_date_range(events: DataFrame, occurrences: DataFrame, start: Column, end: Column) -> DataFrame:
     """Events with overlapping occurrences, which are counted and bounded.
 
     ``occurrences``: event_id, start, end as instants. The filter runs before any grouping.
     """
-    hit = occurrences.filter((F.col("start") <= end) & (effective_end(F.col("start"), F.col("end")) >= start))
+    hit = overlapping(occurrences, start, end)
     per_event = hit.groupBy("event_id").agg(
         F.count("*").alias("matching"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
     return events.join(per_event, "event_id")

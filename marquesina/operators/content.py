@@ -262,6 +262,19 @@ def log_kpis(log: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(runs, (F.col("event") == "source_error").cast("double"))), 6).alias("error_rate"))
 
 
+def host_kpis(log: DataFrame) -> DataFrame:
+    """Back-offs, errors and completed sources per host."""
+    n = lambda kind, name: F.count_if(F.col("event") == kind).alias(name)
+    return log.groupBy("hostname").agg(n("host_backoff", "backoffs"), n("source_error", "errors"), n("source_complete", "completed"))
+
+
+def zero_yield(log: DataFrame) -> DataFrame:
+    """Sources with visits that found no event, and how many."""
+    visits = log.filter("event = 'source_complete'").groupBy("source_name").agg(
+        F.count("*").alias("visits"), F.count_if(F.col("event_count") == 0).alias("empty_visits"))
+    return visits.filter("empty_visits > 0")
+
+
 def run_progress(log: DataFrame, block: Column) -> DataFrame:
     """Completed sources and extracted events so far, at each log line of a run."""
     done = F.when(F.col("event") == "source_complete", 1).otherwise(0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marquesina.functions.dates import whole_days_between
 from marquesina.functions.text import strip
+from marquesina.operators.lifecycle import numbered
 from marquesina.operators.skew import first_per_key, previous_value
 
 # Crawl modes that need no url, default days between crawls, request gaps per tier
@@ -181,6 +182,14 @@ def url_conflicts(requested: DataFrame, urls: DataFrame) -> DataFrame:
     )
 
 
+def appended_urls(requested: DataFrame, urls: DataFrame) -> DataFrame:
+    """Rows to append for requested (source_id, url) that are not live yet, each url once, ids following the last."""
+    live = urls.filter("deleted_at IS NULL").select("url")
+    fresh = requested.join(live, "url", "left_anti").groupBy("url").agg(F.min("source_id").alias("source_id"))
+    last = urls.agg(F.max("id").alias("id")).scalar()
+    return numbered(fresh, ["url"], 0, "place").select((F.coalesce(last, F.lit(0)) + F.col("place")).alias("id"), "source_id", "url")
+
+
 def merge_config(old: DataFrame, change: DataFrame, columns: list[str]) -> DataFrame:
     """Partial update by source: given fields replace, missing ones stay (K7)."""
     new = change.select("source_id", *[F.col(c).alias(f"_new_{c}") for c in columns])

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from marquesina.functions import dates as DT, geo as G, text as T
 from marquesina.operators import browse as S
-from marquesina.plans.bindings import ORDERS_DAY
 from marquesina.plans.registry import query
 from marquesina.session import materialize
 
@@ -35,11 +34,11 @@ def index(b):
     return S.tag_index(b.fev_tag, b.fev, b.loc_tag)
 
 
-def instants(b):
+def instants(b, occurrences=None):
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     start = DT.event_instant(day("start_date"), F.col("start_time"))
     end = DT.event_instant(F.coalesce(day("end_date"), day("start_date")), F.coalesce("end_time", "start_time"))
-    return b.occ.select("event_id", start.alias("start"), F.coalesce(end, start).alias("end"))
+    return (b.occ if occurrences is None else occurrences).select("event_id", start.alias("start"), F.coalesce(end, start).alias("end"))
 
 
 SPAN_SQL = """(SELECT *, start_date::TIMESTAMP + CASE start_time WHEN '7:30 PM' THEN INTERVAL 1410 MINUTE WHEN '19:00' THEN INTERVAL 1380 MINUTE ELSE INTERVAL 960 MINUTE END AS s,
@@ -54,7 +53,20 @@ SELECT f.event_id, COUNT(*) AS matching FROM {{fev}} f JOIN {SPAN_SQL} o ON o.ev
 WHERE o.s <= TIMESTAMP '1998-06-20 03:59:59.999' AND {EFFECTIVE} >= TIMESTAMP '1998-06-15 04:00:00' GROUP BY f.event_id""")
 def _(b):
     start, end = DT.filter_bounds(dt.date(1998, 6, 15), dt.date(1998, 6, 19), dt.date(1998, 1, 1), dt.date(1998, 12, 31))
-    return S.in_date_range(b.fev, instants(b), start, end).select("event_id", "matching")
+    return S.in_date_range(b.fev, instants(b, S.around_days(b.occ, dt.date(1998, 6, 15), dt.date(1998, 6, 19))), start, end).select("event_id", "matching")
+
+
+@query("b5_matching_occurrences", f"""
+SELECT f.event_id, strftime(o.s, '%Y-%m-%d %H:%M') AS start_utc, strftime(o.e, '%Y-%m-%d %H:%M') AS end_utc FROM {{fev}} f JOIN {SPAN_SQL} o ON o.event_id = f.event_id
+WHERE o.s <= TIMESTAMP '1998-06-20 03:59:59.999' AND {EFFECTIVE} >= TIMESTAMP '1998-06-15 04:00:00'""")
+def _(b):
+    first, last = dt.date(1998, 6, 15), dt.date(1998, 6, 19)
+    start, end = DT.filter_bounds(first, last, dt.date(1998, 1, 1), dt.date(1998, 12, 31))
+    # A day's margin on the plain dates leaves few rows whose clock texts have to be read.
+    near = S.around_days(b.occ, first, last)
+    hit = S.overlapping(instants(b, near), start, end).join(b.fev.select("event_id"), "event_id")
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return hit.select("event_id", show("start").alias("start_utc"), show("end").alias("end_utc"))
 
 
 @query("b6_tag_state_predicate", f"""

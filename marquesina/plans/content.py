@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquesina.functions import dates as DT, jsons as J, names as N, text as T
-from marquesina.operators import content as C, skew
+from marquesina.operators import content as C
 from marquesina.plans.bindings import DOCUMENTS_DAY
 from marquesina.plans.registry import query
 
@@ -450,6 +450,20 @@ def _(b):
     return C.log_kpis(C.read_log_lines(log_lines(b)))
 
 
+@query("d21_host_kpis", f"""
+SELECT hostname, COUNT(CASE WHEN event = 'host_backoff' THEN 1 END) AS backoffs, COUNT(CASE WHEN event = 'source_error' THEN 1 END) AS errors,
+  COUNT(CASE WHEN event = 'source_complete' THEN 1 END) AS completed FROM {LOG_SQL} GROUP BY hostname""")
+def _(b):
+    return C.host_kpis(C.read_log_lines(log_lines(b)))
+
+
+@query("d21_zero_yield_sources", f"""
+SELECT source_name, COUNT(*) AS visits, COUNT(CASE WHEN k % 4 = 0 THEN 1 END) AS empty_visits FROM {LOG_SQL} WHERE event = 'source_complete'
+GROUP BY source_name HAVING COUNT(CASE WHEN k % 4 = 0 THEN 1 END) > 0""")
+def _(b):
+    return C.zero_yield(C.read_log_lines(log_lines(b)))
+
+
 @query("d24_run_progress", f"""
 SELECT run, seq, CAST(SUM(CASE WHEN event = 'source_complete' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS sources_done, CAST(SUM(CASE WHEN event = 'source_extracted' THEN k ELSE 0 END) OVER w AS BIGINT) AS events_found,
   CASE WHEN event = 'source_extract_error' THEN 'Extraction failed for ' || source_name || ': bad answer' END AS failure

@@ -162,6 +162,16 @@ def _(b):
     return C.request_plan(r)
 
 
+@query("a24_appended_urls", """
+SELECT (SELECT MAX(id) FROM {src_url}) + ROW_NUMBER() OVER (ORDER BY url) AS id, source_id, url FROM (
+  SELECT w.url, MIN(w.source_id) AS source_id FROM (SELECT 'https://crawl.example.org/' || CAST(n_chars AS STRING) AS url, n_chars % 40 AS source_id FROM {documents} UNION ALL SELECT url, page_id % 40 FROM {pages}) w
+  WHERE w.url NOT IN (SELECT url FROM {src_url} WHERE deleted_at IS NULL) GROUP BY w.url)""")
+def _(b):
+    wanted = b.documents.select(F.concat(F.lit("https://crawl.example.org/"), F.col("n_chars").cast("string")).alias("url"), (F.col("n_chars") % 40).alias("source_id")).unionByName(
+        b.pages.select("url", (F.col("page_id") % 40).alias("source_id")))
+    return C.appended_urls(wanted, b.src_url)
+
+
 @query("a24_c7_url_conflicts", """
 WITH w AS (SELECT 'https://crawl.example.org/' || CAST(n_chars AS STRING) AS url FROM {documents} UNION ALL SELECT url FROM {pages})
 SELECT w.url, CASE WHEN MAX(u.url) IS NOT NULL THEN 'exists' WHEN COUNT(*) > 1 THEN 'repeated' ELSE 'free' END AS verdict, COUNT(*) AS times

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquesina.functions import venues as VF
-from marquesina.operators import lifecycle as L, merging as G, runs as U, skew, venues as V
+from marquesina.operators import lifecycle as L, merging as G, runs as U, venues as V
 from marquesina.plans.bindings import DOCUMENTS_DAY, ORDERS_DAY
 from marquesina.plans.matching import golden, index_of
 from marquesina.plans.registry import query
