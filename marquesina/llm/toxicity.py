@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from marquesina.llm.common import MEMO, crc_mod, map_texts, raw_texts, table
 
 BUCKETS = 1 << 16
+LAST_BUCKET = BUCKETS - 1
 SIZE = 8
 GRAMS = (3, 4, 5)
 WINDOW = 4
@@ -45,11 +46,12 @@ def features(word: bytes) -> list[int]:
     w = word.lower().strip(_STRIP).translate(_FOLD)
     if not w:
         return [0]
-    marked = f"<{w.decode('utf-8', 'replace')}>"
-    crc = zlib.crc32
-    out = [crc(b"\x00" + w) % BUCKETS]
+    # Two bytes a character, so that runs of characters are slices.
+    marked = f"<{w.decode('utf-8', 'replace')}>".encode("utf-16-le")
+    size, crc = len(marked), zlib.crc32
+    out = [crc(w, 1) & LAST_BUCKET]
     for n in GRAMS:
-        out += [crc(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1)]
+        out += [crc(marked[i : i + 2 * n]) & LAST_BUCKET for i in range(0, size - 2 * n + 1, 2)]
     return out
 
 
@@ -63,11 +65,12 @@ def window_cuts(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Per bucket, the difference of the two softmax logits; ``bias`` sets the even odds."""
 
-    gain: np.ndarray
+    gain: list[float]
     bias: float
 
     def word(self, word: bytes) -> float:
-        return float(self.gain[features(word)].mean())
+        found = features(word)
+        return sum(map(self.gain.__getitem__, found)) / len(found)
 
     def pooled(self, words: np.ndarray) -> float:
         """Score of a text from the logits of its words."""
@@ -127,7 +130,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
     y = np.array([labels[i] for i in keep], dtype=np.int64)
     if not len(y) or y.min() == y.max():
         prior = float(np.clip(np.mean(labels) if labels else 0.0, 0.01, 0.99))
-        return Model(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
+        return Model([0.0] * BUCKETS, float(np.log(prior / (1 - prior))))
     bags = Bags([texts[i] for i in keep])
     table_ = rng.normal(0, 0.02, (BUCKETS, SIZE))
     weights = rng.normal(0, 0.1, (SIZE, 2))
@@ -168,7 +171,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
         for value, g, s in ((weights, to_weights / BATCH, squares[1]), (bias, to_bias / BATCH, squares[2])):
             s += g * g
             value -= RATE * g / np.sqrt(s)
-    model = Model(table_ @ (weights[:, 1] - weights[:, 0]), 0.0)
+    model = Model((table_ @ (weights[:, 1] - weights[:, 0])).tolist(), 0.0)
     z = np.array([_logit(model.pooled(_words(model, t))) for t in (texts[i] for i in keep)])
     model.bias = -_even(z, y)
     return model
@@ -215,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         class Known(dict):
             def __missing__(self, word: bytes) -> float:
-                if len(self) > MEMO:
+                if len(self) > 2 * MEMO:
                     self.clear()
                 value = self[word] = model.word(word)
                 return value
