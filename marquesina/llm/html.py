@@ -373,7 +373,10 @@ def composed(texts: list[str], n: int = COMPOSED, seed: int = SEED) -> tuple[lis
 
 def trained(pages: DataFrame) -> Labeller:
     """Labeller from a bounded sample of pages: the first ``SAMPLE`` in order of a hash, of at most ``SAMPLE_CHARS``."""
-    rows = pages.select("page_id", "html").filter(F.length("html").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(SAMPLE).collect()
+    fit = pages.select("page_id", "html").filter(F.length("html").between(1, SAMPLE_CHARS))
+    # Ids are chosen first, so that tasks send ids and not their own best pages to the driver.
+    chosen = fit.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    rows = fit.join(F.broadcast(chosen), "page_id", "left_semi").dropDuplicates(["page_id"]).orderBy(F.xxhash64("page_id"), "page_id").collect()
     blocks = [leaves(r[1]) for r in rows]
     texts = [b.text for page in blocks for b in page if len(b.text.split()) > 5]
     made, labels = composed(texts)
