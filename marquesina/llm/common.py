@@ -32,6 +32,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+# Rows of one or two numbers that may be broadcast, some 30 MB on the receiving side.
+SMALL_ROWS = 500_000
+
+
+def small_or_joined(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A staged table of short rows, marked for broadcast if its counted rows are few; else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a text column; null is the empty text."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
@@ -93,6 +102,14 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list[b
     return docs.mapInArrow(run, docs.schema)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs below one node that hangs below none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    counts = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return counts.filter("below > 1 OR below = 1 AND above = 1").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected groups of the links ``(a, b)`` as ``(node, root)``, the root being the smallest node.
 
@@ -105,22 +122,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stage(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "links"
     )
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    seen = mark(edges)
-    while seen[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = stage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = mark(step)
-        edges, done, seen = step, now == seen, now
-        if done:
-            break
+        edges = stage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return nodes.unionByName(roots)

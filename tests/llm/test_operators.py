@@ -16,7 +16,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def words(rng, n, size=400):
-    return " ".join(f"w{rng.randrange(size):x}" for _ in range(n))
+    return " ".join(f"word{rng.randrange(size):x}" if rng.random() < 0.8 else rng.choice(("of", "the", "a")) for _ in range(n))
 
 
 def frame(spark, rows):
@@ -166,17 +166,17 @@ def brute_lines(rows):
     occurrences = collections.defaultdict(list)
     for d, t in rows:
         for k, x in enumerate((t or "").split("\n")):
-            w = tuple(y for y in re.split(r"[\x00-/:-`{-\x7f]+", x.lower()) if y)
+            w = tuple(y for y in x.lower().translate({9: 32, 13: 32}).split(" ") if y)
             if len(w) >= 5:
                 occurrences[w].append(((lines.LAST if d is None else d), k))
     keys, sims = list(occurrences), []
     for w in keys:
-        h = [xxhash.xxh64_intdigest(y.encode(), 42) for y in w]
-        sims.append(sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)))
+        h = [xxhash.xxh64_intdigest(y.encode(), 42) for y in (z.rstrip(".,") for z in dict.fromkeys(w)) if len(y) >= 4]
+        sims.append(None if len(h) < 3 else sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)))
     masks = [unsigned(m) for m in lines._masks()]
 
     def near(a, b):
-        x, y = " ".join(keys[a]), " ".join(keys[b])
+        x, y = keys[a], keys[b]
         row = list(range(len(y) + 1))
         for i, c in enumerate(x, 1):
             last, row = row, [i]
@@ -184,7 +184,7 @@ def brute_lines(rows):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
         return row[-1] <= int(max(len(x), len(y)) * 0.2 + 1e-9)
 
-    pairs = [(a, b) for a, b in combinations(range(len(keys)), 2) if any((sims[a] ^ sims[b]) & m == 0 for m in masks) and near(a, b)]
+    pairs = [(a, b) for a, b in combinations([i for i, x in enumerate(sims) if x is not None], 2) if any((sims[a] ^ sims[b]) & m == 0 for m in masks) and near(a, b)]
     groups = collections.defaultdict(list)
     for w, root in zip(keys, grouped(len(keys), pairs)):
         groups[root] += occurrences[w]
