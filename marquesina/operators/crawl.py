@@ -26,22 +26,19 @@ def or_default(c: Column, default) -> Column:
     return F.when(c.isNull() | empty, F.lit(default)).otherwise(c)
 
 
-def packed_urls(urls: DataFrame) -> DataFrame:
-    """Ordered (url, js_code) list per source from the live urls (A4)."""
-    live = urls.filter("deleted_at IS NULL")
-    return live.groupBy("source_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("sort_order", "id", "url", "js_code"))),
-            lambda u: F.struct(u["url"].alias("url"), u["js_code"].alias("js_code")),
-        ).alias("urls")
-    )
+def live_urls(urls: DataFrame) -> DataFrame:
+    """(source_id, sort_order, id, url, js_code) of the live urls, read per source in this order (A4)."""
+    return urls.filter("deleted_at IS NULL").select("source_id", "sort_order", "id", "url", "js_code")
 
 
 def due_sources(
     sources: DataFrame, configs: DataFrame, urls: DataFrame, now: Column,
     source_ids: list[int] | None = None, tier: int | None = None,
 ) -> DataFrame:
-    """Sources to crawl now (A1), from an id list (A2) or for one tier (A3), defaults filled (A5)."""
+    """Sources to crawl now (A1), from an id list (A2) or for one tier (A3), defaults filled (A5).
+
+    Each comes with the number of its urls; the urls themselves stay rows (see :func:`live_urls`).
+    """
     joined = sources.filter("deleted_at IS NULL").join(configs, sources["id"] == configs["source_id"]).drop("source_id")
     if source_ids:
         joined = joined.filter(F.col("id").isin(source_ids))
@@ -54,15 +51,16 @@ def due_sources(
         else:
             rested = whole_days_between(F.col("last_crawled_at"), now) >= F.coalesce("crawl_frequency", F.lit(DEFAULT_FREQUENCY))
             joined = joined.filter(F.col("force_crawl") | F.col("last_crawled_at").isNull() | rested)
-    with_urls = joined.join(packed_urls(urls).withColumnRenamed("source_id", "id"), "id", "left")
-    return with_urls.filter(F.col("urls").isNotNull() | F.col("crawl_mode").isin(URL_FREE_MODES)).select(
+    counts = live_urls(urls).groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n_urls"))
+    with_urls = joined.join(counts, "id", "left")
+    return with_urls.filter(F.col("n_urls").isNotNull() | F.col("crawl_mode").isin(URL_FREE_MODES)).select(
         "id", "name", or_default(F.col("tier"), 1).alias("tier"), "min_interval",
         or_default(F.col("crawl_frequency"), DEFAULT_FREQUENCY).alias("crawl_frequency"),
         or_default(F.col("num_clicks"), 2).alias("num_clicks"),
         or_default(F.col("max_pages"), 30).alias("max_pages"),
         or_default(F.col("crawl_mode"), "browser").alias("crawl_mode"),
         "notes", "force_crawl", "last_crawled_at",
-        F.coalesce("urls", F.array().cast("array<struct<url:string,js_code:string>>")).alias("urls"),
+        F.coalesce("n_urls", F.lit(0)).alias("n_urls"),
     )
 
 

@@ -20,19 +20,14 @@ def _due(b, **how):
 
 
 def _flat(due):
-    urls = F.array_join(F.transform("urls", lambda u: F.concat(u["url"], F.lit("|"), F.coalesce(u["js_code"], F.lit("")))), " ")
-    return due.select(
-        "id", "name", "tier", "min_interval", "crawl_frequency", "num_clicks", "max_pages", "crawl_mode", "notes",
-        F.size("urls").cast("long").alias("n_urls"), urls.alias("urls"),
-    )
+    return due.select("id", "name", "tier", "min_interval", "crawl_frequency", "num_clicks", "max_pages", "crawl_mode", "notes", "n_urls")
 
 
 DUE_SQL = """
 SELECT s.id, s.name, CASE WHEN s.tier IS NULL THEN 1 ELSE s.tier END AS tier, s.min_interval,
        COALESCE(NULLIF(c.crawl_frequency, 0), 7) AS crawl_frequency, COALESCE(NULLIF(c.num_clicks, 0), 2) AS num_clicks,
        COALESCE(NULLIF(c.max_pages, 0), 30) AS max_pages, COALESCE(c.crawl_mode, 'browser') AS crawl_mode, c.notes,
-       COUNT(u.url) AS n_urls,
-       COALESCE(STRING_AGG(u.url || '|' || COALESCE(u.js_code, ''), ' ' ORDER BY u.sort_order, u.id), '') AS urls
+       COUNT(u.url) AS n_urls
 FROM {{src}} s JOIN {{cfg}} c ON c.source_id = s.id
 LEFT JOIN {{src_url}} u ON u.source_id = s.id AND u.deleted_at IS NULL
 WHERE s.deleted_at IS NULL AND {where}
@@ -57,12 +52,9 @@ def _(b):
     return _flat(_due(b, tier=2))
 
 
-@query("a4_packed_urls", """
-SELECT source_id, STRING_AGG(url || '|' || COALESCE(js_code, ''), ' ' ORDER BY sort_order, id) AS urls
-FROM {src_url} WHERE deleted_at IS NULL GROUP BY source_id""")
+@query("a4_packed_urls", "SELECT source_id, sort_order, id, url, js_code FROM {src_url} WHERE deleted_at IS NULL")
 def _(b):
-    return C.packed_urls(b.src_url).select("source_id", F.array_join(F.transform(
-        "urls", lambda u: F.concat(u["url"], F.lit("|"), F.coalesce(u["js_code"], F.lit("")))), " ").alias("urls"))
+    return C.live_urls(b.src_url)
 
 
 @query("a5_config_defaults", """
