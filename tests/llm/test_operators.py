@@ -363,6 +363,25 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
     assert out[40]["text"] is None and out[41]["text"] == "" and out[42]["text"] == "no 12 data 3.4" and out[42]["n_found"] == 0
 
 
+def test_private_data_beside_other_numbers(spark):
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    rows = dict(enumerate([
+        f"{card} 12/27", "4111111111111111 123", f"12 {card}", f"12 34 5678 {card}", f"{card} {card}", f"{card} 4012 8888 8888 1881 555-123-4567", f"{card} 10.0.0.1",
+        f"pay {iban} now", f"{iban} {card}", f"AT61 1904 3002 3457 3201 {card}", "born 12/05/1990.", "on 05/23/1990, 23.5.1990", "7 May 1990 and March 31, 2001", "1990/02/28 4111111111111112",
+        " ".join(["12"] * 1000) + f" {card}", "99/99/1990 31 Feb 1990",
+    ]))
+    out = {r[0]: r for r in private.pseudonymised(frame(spark, list(rows.items()))).collect()}
+    assert [out[i]["n_found"] for i in rows if i != 14] == [1, 1, 1, 1, 2, 3, 2, 1, 2, 2, 1, 2, 2, 1, 0]
+    moved = re.match(r"[\d ]{19}", out[0]["text"])[0]
+    assert luhn(moved.replace(" ", "")) and moved != card and out[0]["text"] == f"{moved} 12/27" and out[1]["text"] == f"{moved.replace(' ', '')} 123"
+    assert out[2]["text"] == f"12 {moved}" and out[3]["text"] == f"12 34 5678 {moved}" and out[4]["text"] == f"{moved} {moved}" and out[14]["text"].endswith(f"12 {moved}")
+    other = re.fullmatch(r"pay (DE\d\d(?: \d{4}){4} \d\d) now", out[7]["text"])[1]
+    assert other != iban and int((other[4:] + "1314" + other[2:4]).replace(" ", "")) % 97 == 1 and out[8]["text"] == f"{other} {moved}" and out[9]["text"].endswith(moved)
+    for i, form in ((10, r"born \d\d/\d\d/\d{4}\."), (11, r"on \d\d/(?:1[3-9]|[23]\d)/\d{4}, \d\d?\.\d\d?\.\d{4}"), (12, r"\d\d? [A-Z][a-z]+ \d{4} and [A-Z][a-z]+ \d\d?, \d{4}"), (13, r"\d{4}/\d\d/\d\d 4111111111111112")):
+        assert re.fullmatch(form, out[i]["text"]) and out[i]["text"] != rows[i] and out[i]["kinds"] == ["date"]
+    assert out[15]["text"] == rows[15]
+
+
 def test_small_permutation_is_complete(spark):
     df = spark.range(1000).select(private.permuted_digits(private.F.lpad(private.F.col("id").cast("string"), 3, "0"), "k", private.F.lit("t")).alias("x"))
     assert len({r[0] for r in df.collect()}) == 1000
