@@ -139,11 +139,18 @@ def with_distance(rows: DataFrame, centre: tuple[float, float]) -> DataFrame:
     return rows.withColumn("distance", G.haversine_m(F.lit(centre[0]), F.lit(centre[1]), F.col("lat").cast("double"), F.col("lng").cast("double")))
 
 
-def search_term_events(events: DataFrame, locations: DataFrame, term: str) -> DataFrame:
-    """All events of locations where the location's text or any event's text has the term."""
+def _tagged(location_tags: DataFrame, needle: Column) -> DataFrame:
+    """Keys of the locations one of whose (tag, location_key) rows has the term."""
+    return location_tags.filter(F.contains(normalize_for_search(F.col("tag")), needle)).select("location_key").distinct()
+
+
+def search_term_events(events: DataFrame, locations: DataFrame, term: str, location_tags: DataFrame | None = None) -> DataFrame:
+    """All events of locations where the location's text or tags or any event's text has the term."""
     needle = normalize_for_search(F.lit(term))
     by_place = locations.filter(F.contains("search_text", needle)).select("location_key")
     by_event = events.filter(F.contains("search_text", needle)).select("location_key")
+    if location_tags is not None:
+        by_place = by_place.union(_tagged(location_tags, needle))
     return events.join(by_place.union(by_event).distinct(), "location_key", "left_semi")
 
 
@@ -222,8 +229,9 @@ def score_items(items: DataFrame, kind: str, label: Column) -> DataFrame:
     return items.select(F.lit(kind).alias("type"), F.col("ref"), label.alias("shown"), "emoji", score.alias("score"), "visible")
 
 
-def location_results(locations: DataFrame, term: str) -> DataFrame:
-    return score_items(_candidates(locations, term), "location", display_name(F.col("short_name"), F.col("name")))
+def location_results(locations: DataFrame, term: str, location_tags: DataFrame | None = None) -> DataFrame:
+    """Scored locations whose text, or one of whose tags, has the term."""
+    return score_items(_candidates(locations, term, location_tags), "location", display_name(F.col("short_name"), F.col("name")))
 
 
 def event_results(events: DataFrame, term: str) -> DataFrame:
@@ -231,8 +239,11 @@ def event_results(events: DataFrame, term: str) -> DataFrame:
     return score_items(_candidates(events, term), "event", F.regexp_replace(label, "</?em>", ""))
 
 
-def _candidates(items: DataFrame, term: str) -> DataFrame:
+def _candidates(items: DataFrame, term: str, location_tags: DataFrame | None = None) -> DataFrame:
     """Items with the term, or without one all visible and the first hidden matching items."""
+    if term and location_tags is not None:
+        tagged = _tagged(location_tags, F.lit(term)).withColumn("_tagged", F.lit(True))
+        return items.join(tagged, "location_key", "left").filter(F.contains("search_text", F.lit(term)) | F.col("_tagged").isNotNull()).drop("_tagged")
     if term:
         return items.filter(F.contains("search_text", F.lit(term)))
     hidden = top_per_key(

@@ -127,7 +127,7 @@ SELECT event_id FROM {fev} WHERE location_key IN (
 def _(b):
     f = b.fev.withColumn("search_text", S.search_text(*[F.col(c) for c in ("name", "short_name", "description", "location", "sublocation")]))
     p = S.locations_by_key(b.loc).withColumn("search_text", S.search_text(F.col("name"), F.col("short_name")))
-    return S.search_term_events(f, p, "Urgent Show 3").select("event_id")
+    return S.search_term_events(f, p, "Urgent Show 3", b.place_tag).select("event_id")
 
 
 @query("c18_e4_locations_by_key", "SELECT location_key, id FROM {place}")
@@ -257,7 +257,7 @@ r AS (SELECT ref, matching, visible, txt, 1 + CASE WHEN matching THEN 10 ELSE 0
 
 @query("j5_location_search", SCORED + PLACES + " SELECT ref, ROUND(score, 6) AS score, visible FROM r WHERE txt LIKE '%hall nation_1%'")
 def _(b):
-    return S.location_results(search_places(b), "hall nation_1").select("ref", F.round("score", 6).alias("score"), "visible")
+    return S.location_results(search_places(b), "hall nation_1", b.place_tag).select("ref", F.round("score", 6).alias("score"), "visible")
 
 
 def tag_table(b):
