@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquesina.llm import bpe, decontaminate, divergence, html, language, lines, packing, private, quality, simhash, substrings, toxicity
+from marquesina.llm import bpe, decontaminate, dialogue, divergence, html, language, lines, packing, private, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": decontaminate.op1_benchmark_leaks,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_private_data": private.op8_private_data,
     "op9_main_text": html.op9_main_text,
     "op10_simhash_groups": simhash.op10_simhash_groups,
+    "op11_dialogue_repair": dialogue.op11_dialogue_repair,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_bpe_round_trip": bpe.op13_bpe_round_trip,
 }
