@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marquesina.functions import geo as G
 from marquesina.functions.dates import effective_end
 from marquesina.functions.text import decode_entities, display_name, emphasis_to_tags, is_country_flag, normalize_for_search
+from marquesina.operators.search import TermIndex, keys_with
 from marquesina.operators.skew import first_per_key, top_per_key
 from marquesina.session import materialize
 
@@ -74,23 +75,52 @@ def in_date_range(events: DataFrame, occurrences: DataFrame, start: Column, end:
     return events.join(per_event, "event_id")
 
 
+def tag_bitmaps(index: DataFrame, marks: dict[str, list[str]]) -> DataFrame:
+    """Per bucket of event ids one bitmap for each mark: the events that have any of its tags (G1).
+
+    ``index``: (tag, event_id) rows. Only rows of the named tags are read, and each becomes a bit; a tag that most
+    events have is one bit of each. Rows meet by bucket before they are aggregated, so that a bitmap is built once
+    however the ids are dealt to files.
+    """
+    named = index.filter(F.col("tag").isin(sorted({t for tags in marks.values() for t in tags})))
+    placed = named.select("tag", F.bitmap_bucket_number("event_id").alias("bucket"), F.bitmap_bit_position("event_id").alias("_bit")).repartition("bucket")
+    return placed.groupBy("bucket").agg(*[F.bitmap_construct_agg(F.when(F.col("tag").isin(tags), F.col("_bit"))).alias(mark) for mark, tags in marks.items()])
+
+
+def has_bit(bitmap: Column, event_id: Column) -> Column:
+    """Whether the bitmap of the event's bucket has the event; false where there is no bitmap."""
+    bit = F.bitmap_bit_position(event_id).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3) + 1, 1)), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))) == 1, F.lit(False))
+
+
+def _marked(events: DataFrame, index: DataFrame, marks: dict[str, list[str]]) -> DataFrame:
+    """Events with one boolean for each mark that has tags."""
+    marks = {mark: tags for mark, tags in marks.items() if tags}
+    if not marks:
+        return events
+    keyed = events.withColumn("bucket", F.bitmap_bucket_number("event_id")).join(tag_bitmaps(index, marks), "bucket", "left")
+    return keyed.select(*events.columns, *[has_bit(F.col(mark), F.col("event_id")).alias(mark) for mark in marks])
+
+
+def _all_of(tags: list[str]) -> dict[str, list[str]]:
+    return {f"_all{k}": [tag] for k, tag in enumerate(sorted(set(tags)))}
+
+
 def with_matching(events: DataFrame, index: DataFrame, states: dict[str, str]) -> DataFrame:
-    """Add ``matching``: the tri-state predicate over an event's tags.
+    """Add ``matching``: the tri-state predicate over an event's tags (B6), read from bitmaps of the named tags.
 
-    ``index``: (tag, event_id) rows, each once. Only rows of the named tags are kept, and they become a few
-    counters per event, so an event may have any number of tags.
+    ``index``: (tag, event_id) rows, so an event may have any number of tags.
     """
     selected, required, forbidden = split_states(states)
-    named = index.filter(F.col("tag").isin([*selected, *required, *forbidden]))
-    hits = lambda tags: F.count_if(F.col("tag").isin(tags)) if tags else F.lit(0)
-    counts = named.groupBy("event_id").agg(hits(selected).alias("_some"), hits(required).alias("_all"), hits(forbidden).alias("_bad"))
-    of = lambda name: F.coalesce(name, F.lit(0))
-    ok = of("_bad") == 0
-    if required:
-        ok = ok & (of("_all") == len(set(required)))
-    elif selected:
-        ok = ok & (of("_some") > 0)
-    return events.join(counts, "event_id", "left").withColumn("matching", ok).drop("_some", "_all", "_bad")
+    every = _all_of(required)
+    marked = _marked(events, index, {**every, "_some": [] if required else selected, "_bad": forbidden})
+    ok = ~F.col("_bad") if forbidden else F.lit(True)
+    for mark in every:
+        ok = ok & F.col(mark)
+    if selected and not required:
+        ok = ok & F.col("_some")
+    return marked.withColumn("matching", ok).select(*events.columns, "matching")
 
 
 def tag_index(event_tags: DataFrame, events: DataFrame, location_tags: DataFrame) -> DataFrame:
@@ -109,18 +139,24 @@ def filter_by_tags(base: DataFrame, index: DataFrame, event_tags: DataFrame, all
     """
     chosen, required, forbidden = split_states(states)
     chosen = selected if selected is not None else chosen
-    if required:
-        ids = index.filter(F.col("tag").isin(required)).groupBy("event_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(set(required)))
-        found = all_events.join(ids, "event_id", "left_semi")
-    elif chosen:
-        found = all_events.join(index.filter(F.col("tag").isin(chosen)), "event_id", "left_semi")
-    else:
-        found = base
+    every = _all_of(required)
+    found = base
+    if required or chosen:
+        found = _marked(all_events, index, {**every, "_some": [] if required else chosen})
+        for mark in every or ["_some"]:
+            found = found.filter(mark)
+        found = found.select(*all_events.columns)
     if forbidden:
-        found = found.join(event_tags.filter(F.col("tag").isin(forbidden)), "event_id", "left_anti")
+        found = _marked(found, event_tags, {"_bad": forbidden}).filter("NOT _bad").drop("_bad")
     return found
 
 
+def tag_counts(index: DataFrame) -> DataFrame:
+    """(tag, bucket, events): the size of each posting bitmap, one row per tag and bucket of ids."""
+    bits = index.groupBy("tag", F.bitmap_bucket_number("event_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("event_id")).alias("_bits"))
+    return bits.select("tag", "bucket", F.bitmap_count("_bits").alias("events"))
+
+
 def locations_with_match(events: DataFrame, index: DataFrame, states: dict[str, str]) -> DataFrame:
     """Location keys with at least one matching event."""
     return with_matching(events, index, states).filter("matching").select("location_key").distinct()
@@ -139,26 +175,6 @@ def with_distance(rows: DataFrame, centre: tuple[float, float]) -> DataFrame:
     return rows.withColumn("distance", G.haversine_m(F.lit(centre[0]), F.lit(centre[1]), F.col("lat").cast("double"), F.col("lng").cast("double")))
 
 
-def _tagged(location_tags: DataFrame, needle: Column) -> DataFrame:
-    """Keys of the locations one of whose (tag, location_key) rows has the term."""
-    return location_tags.filter(F.contains(normalize_for_search(F.col("tag")), needle)).select("location_key").distinct()
-
-
-def search_term_events(events: DataFrame, locations: DataFrame, term: str, location_tags: DataFrame | None = None) -> DataFrame:
-    """All events of locations where the location's text or tags or any event's text has the term."""
-    needle = normalize_for_search(F.lit(term))
-    by_place = locations.filter(F.contains("search_text", needle)).select("location_key")
-    by_event = events.filter(F.contains("search_text", needle)).select("location_key")
-    if location_tags is not None:
-        by_place = by_place.union(_tagged(location_tags, needle))
-    return events.join(by_place.union(by_event).distinct(), "location_key", "left_semi")
-
-
-def search_text(*fields: Column) -> Column:
-    """Search text of an item: its non-empty fields, folded (D-index)."""
-    return F.array_join(F.filter(F.array(*[normalize_for_search(f) for f in fields]), lambda t: t != ""), " ")
-
-
 # Tag statistics.
 
 
@@ -229,23 +245,20 @@ def score_items(items: DataFrame, kind: str, label: Column) -> DataFrame:
     return items.select(F.lit(kind).alias("type"), F.col("ref"), label.alias("shown"), "emoji", score.alias("score"), "visible")
 
 
-def location_results(locations: DataFrame, term: str, location_tags: DataFrame | None = None) -> DataFrame:
-    """Scored locations whose text, or one of whose tags, has the term."""
-    return score_items(_candidates(locations, term, location_tags), "location", display_name(F.col("short_name"), F.col("name")))
+def location_results(locations: DataFrame, index: TermIndex, term: str) -> DataFrame:
+    """Scored locations whose name, short name or tags, taken together, have the term."""
+    return score_items(_candidates(locations, index, term), "location", display_name(F.col("short_name"), F.col("name")))
 
 
-def event_results(events: DataFrame, term: str) -> DataFrame:
+def event_results(events: DataFrame, index: TermIndex, term: str) -> DataFrame:
     label = emphasis_to_tags(decode_entities(display_name(F.col("short_name"), F.col("name"))))
-    return score_items(_candidates(events, term), "event", F.regexp_replace(label, "</?em>", ""))
+    return score_items(_candidates(events, index, term), "event", F.regexp_replace(label, "</?em>", ""))
 
 
-def _candidates(items: DataFrame, term: str, location_tags: DataFrame | None = None) -> DataFrame:
-    """Items with the term, or without one all visible and the first hidden matching items."""
-    if term and location_tags is not None:
-        tagged = _tagged(location_tags, F.lit(term)).withColumn("_tagged", F.lit(True))
-        return items.join(tagged, "location_key", "left").filter(F.contains("search_text", F.lit(term)) | F.col("_tagged").isNotNull()).drop("_tagged")
+def _candidates(items: DataFrame, index: TermIndex, term: str) -> DataFrame:
+    """Items that the index of their ``ref`` names for the term, or without one all visible and the first hidden matching items."""
     if term:
-        return items.filter(F.contains("search_text", F.lit(term)))
+        return items.join(keys_with(index, term).withColumnRenamed("key", "ref"), "ref", "left_semi")
     hidden = top_per_key(
         items.filter(F.col("matching") & ~F.col("visible")).withColumn("_all", F.lit(1)), ["_all"], [F.col("ref")], HIDDEN_LIMIT)
     return items.filter("visible").unionByName(hidden.drop("_all", "rank"))
@@ -253,14 +266,14 @@ def _candidates(items: DataFrame, term: str, location_tags: DataFrame | None = N
 
 def tag_results(tags: DataFrame, term: str, geotags: list[str]) -> DataFrame:
     """Scored tags from (tag, dynamic, visible_frequency, total)."""
-    norm = normalize_for_search(F.col("tag"))
-    found = tags.filter(F.contains(norm, F.lit(term)))
+    norm, needle = normalize_for_search(F.col("tag")), normalize_for_search(F.lit(term))
+    found = tags.filter(F.contains(norm, needle))
     if not term:
         found = found.filter(~F.lower("tag").isin([g.lower() for g in geotags]))
     seen = F.coalesce("visible_frequency", F.lit(0.0))
     return found.select(
         F.lit("tag").alias("type"), F.col("tag").alias("ref"), F.col("tag").alias("shown"), F.lit(None).cast("string").alias("emoji"),
-        G.tag_score(F.col("dynamic"), norm == term, seen, F.col("total")).alias("score"), (seen > 0).alias("visible"))
+        G.tag_score(F.col("dynamic"), norm == needle, seen, F.col("total")).alias("score"), (seen > 0).alias("visible"))
 
 
 def ranked(results: DataFrame, term: str, selected_location: str | None, states: dict[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marquesina.functions import dates as DT, geo as G, text as T
-from marquesina.operators import browse as S
+from marquesina.operators import browse as S, search as X
 from marquesina.plans.registry import query
 from marquesina.session import materialize
 
@@ -120,14 +120,51 @@ def _(b):
     return S.valid_feed_rows(b.fev, instants(b), at("1998-01-01"), at("1998-12-31")).select("event_id", "location", "sublocation")
 
 
-@query("b13_search_term_filter", """
-SELECT event_id FROM {fev} WHERE location_key IN (
-  SELECT location_key FROM {fev} WHERE lower(concat_ws(' ', name, short_name, description, location, sublocation)) LIKE '%urgent show 3%'
-  UNION SELECT location_key FROM {place} p JOIN {loc} l ON l.id = p.id WHERE lower(concat_ws(' ', l.name, l.short_name)) LIKE '%urgent show 3%')""")
+# The text of a place: name, short name and its tags in order.
+PLACE_TEXT = "lower(concat_ws(' ', l.name, l.short_name, (SELECT string_agg(tag, ' ' ORDER BY tag) FROM (SELECT DISTINCT tag FROM {place_tag} t WHERE t.location_key = p.location_key))))"
+EVENT_TEXT = "lower(concat_ws(' ', name, short_name, description, location, sublocation))"
+
+
+def place_index(b):
+    return X.build_index(X.place_texts(S.locations_by_key(b.loc), b.place_tag))
+
+
+def event_index(b):
+    return X.build_index(X.event_texts(b.fev))
+
+
+def term_filter(term):
+    return f"""
+SELECT event_id FROM {{fev}} WHERE location_key IN (
+  SELECT location_key FROM {{fev}} WHERE {EVENT_TEXT} LIKE '%{term}%'
+  UNION SELECT location_key FROM (SELECT p.location_key, {PLACE_TEXT} AS txt FROM {{place}} p JOIN {{loc}} l ON l.id = p.id) WHERE txt LIKE '%{term}%')"""
+
+
+@query("b13_search_term_filter", term_filter("urgent show 3"))
 def _(b):
-    f = b.fev.withColumn("search_text", S.search_text(*[F.col(c) for c in ("name", "short_name", "description", "location", "sublocation")]))
-    p = S.locations_by_key(b.loc).withColumn("search_text", S.search_text(F.col("name"), F.col("short_name")))
-    return S.search_term_events(f, p, "Urgent Show 3", b.place_tag).select("event_id")
+    return X.events_of_term(b.fev, place_index(b), event_index(b), "Urgent Show 3").select("event_id")
+
+
+@query("b13_term_of_a_tag_only", term_filter("middle east"))
+def _(b):
+    return X.events_of_term(b.fev, place_index(b), event_index(b), "Middle East").select("event_id")
+
+
+@query("b13_term_across_fields", term_filter("nation_1 america"))
+def _(b):
+    return X.events_of_term(b.fev, place_index(b), event_index(b), "Nation_1 America").select("event_id")
+
+
+@query("b13_term_of_two_letters", term_filter("w "))
+def _(b):
+    return X.events_of_term(b.fev, place_index(b), event_index(b), "W ").select("event_id")
+
+
+@query("h14_trigram_postings", f"""
+SELECT DISTINCT location_key AS key, substring(txt, i::INT, 3) AS gram FROM (
+  SELECT location_key, txt, unnest(range(1, length(txt) + 1)) AS i FROM (SELECT p.location_key, {PLACE_TEXT} AS txt FROM {{place}} p JOIN {{loc}} l ON l.id = p.id))""")
+def _(b):
+    return place_index(b).postings
 
 
 @query("c18_e4_locations_by_key", "SELECT location_key, id FROM {place}")
@@ -210,12 +247,17 @@ def _(b):
     return out.select("event_id", "location_key", "forced", "matching", "tag_count", "away")
 
 
+@query("d14_posting_bitmaps", f"""
+SELECT tag, 1 + CAST(floor((event_id - 1) / 32768) AS BIGINT) AS bucket, COUNT(*) AS events FROM {ALL_TAGS} GROUP BY ALL""")
+def _(b):
+    return S.tag_counts(index(b))
+
+
 def search_items(b):
     seen = S.in_viewport(b.fev, QUAD).select("event_id", F.lit(True).alias("in_view"))
     flags = S.with_matching(b.fev, index(b), SELECTED).join(seen, "event_id", "left").join(S.tag_scores(index(b), "event_id", WEIGHTS), "event_id", "left")
     rows = S.with_distance(flags, CENTRE).withColumn("visible", F.coalesce("in_view", F.lit(False)) & F.col("matching"))
-    return rows.withColumn("ref", F.col("event_id")).withColumn(
-        "search_text", S.search_text(F.col("name"), F.col("short_name"), F.col("description"), F.col("location"), F.col("sublocation")))
+    return rows.withColumn("ref", F.col("event_id"))
 
 
 SCORED = f"""
@@ -229,14 +271,14 @@ e AS (SELECT event_id AS ref, COALESCE(short_name, name) AS shown, lower(concat_
 
 @query("j6_j7_event_search", SCORED + " SELECT ref, shown, ROUND(score, 6) AS score, visible FROM e WHERE txt LIKE '%show 3%'")
 def _(b):
-    return S.event_results(search_items(b), "show 3").select("ref", "shown", F.round("score", 6).alias("score"), "visible")
+    return S.event_results(search_items(b), event_index(b), "Show 3").select("ref", "shown", F.round("score", 6).alias("score"), "visible")
 
 
 @query("e10_event_results_without_term", SCORED + """
 SELECT ref, ROUND(score, 6) AS score, visible FROM e WHERE visible
 UNION ALL SELECT ref, ROUND(score, 6), visible FROM (SELECT * FROM e WHERE matching AND NOT visible ORDER BY ref LIMIT 100)""")
 def _(b):
-    return S.event_results(search_items(b), "").select("ref", F.round("score", 6).alias("score"), "visible")
+    return S.event_results(search_items(b), None, "").select("ref", F.round("score", 6).alias("score"), "visible")
 
 
 def search_places(b, items=None):
@@ -244,20 +286,29 @@ def search_places(b, items=None):
     keys = matching.groupBy("location_key").agg(F.bool_or("visible").alias("visible"))
     scores = S.tag_scores(b.place_tag.select("tag", "location_key").distinct(), "location_key", WEIGHTS)
     p = S.with_distance(S.locations_by_key(b.loc), CENTRE).join(keys.withColumn("matching", F.lit(True)), "location_key", "left").join(scores, "location_key", "left")
-    return p.withColumn("ref", F.col("location_key")).withColumn("matching", F.coalesce("matching", F.lit(False))).withColumn("visible", F.coalesce("visible", F.lit(False))).withColumn(
-        "search_text", S.search_text(F.col("name"), F.col("short_name")))
+    return p.withColumn("ref", F.col("location_key")).withColumn("matching", F.coalesce("matching", F.lit(False))).withColumn("visible", F.coalesce("visible", F.lit(False)))
 
 
 PLACES = """,
 k AS (SELECT location_key, MAX(CASE WHEN in_view THEN 1 ELSE 0 END) AS v FROM g WHERE matching GROUP BY location_key),
-q AS (SELECT p.location_key AS ref, k.location_key IS NOT NULL AS matching, COALESCE(k.v, 0) = 1 AS visible, lower(concat_ws(' ', l.name, l.short_name)) AS txt, """ + XY.replace("lat", "l.lat").replace("lng", "l.lng") + """,
+q AS (SELECT p.location_key AS ref, k.location_key IS NOT NULL AS matching, COALESCE(k.v, 0) = 1 AS visible, """ + PLACE_TEXT + """ AS txt, """ + XY.replace("lat", "l.lat").replace("lng", "l.lng") + """,
   (SELECT COALESCE(SUM(CASE tag WHEN 'AFRICA' THEN 1.5 ELSE 0 END), 0) FROM {loc_tag} t WHERE t.location_id = l.id) AS w FROM {place} p JOIN {loc} l ON l.id = p.id LEFT JOIN k ON k.location_key = p.location_key),
 r AS (SELECT ref, matching, visible, txt, 1 + CASE WHEN matching THEN 10 ELSE 0 END + w + GREATEST(0, 5 * (1 - (""" + HAV + """) / 20000)) + CASE WHEN visible THEN 5 ELSE 0 END AS score FROM (SELECT *, """ + H + """ AS h FROM q))"""
 
 
 @query("j5_location_search", SCORED + PLACES + " SELECT ref, ROUND(score, 6) AS score, visible FROM r WHERE txt LIKE '%hall nation_1%'")
 def _(b):
-    return S.location_results(search_places(b), "hall nation_1", b.place_tag).select("ref", F.round("score", 6).alias("score"), "visible")
+    return S.location_results(search_places(b), place_index(b), "Hall Nation_1").select("ref", F.round("score", 6).alias("score"), "visible")
+
+
+@query("j5_location_search_by_tag", SCORED + PLACES + " SELECT ref, ROUND(score, 6) AS score, visible FROM r WHERE txt LIKE '%africa%'")
+def _(b):
+    return S.location_results(search_places(b), place_index(b), "África").select("ref", F.round("score", 6).alias("score"), "visible")
+
+
+@query("j5_location_search_across_fields", SCORED + PLACES + " SELECT ref, ROUND(score, 6) AS score, visible FROM r WHERE txt LIKE '%nation_1 america%'")
+def _(b):
+    return S.location_results(search_places(b), place_index(b), "nation_1 AMERICA").select("ref", F.round("score", 6).alias("score"), "visible")
 
 
 def tag_table(b):
@@ -278,7 +329,7 @@ tags AS (SELECT u.tag, v.f IS NOT NULL AS visible, u.total * 0.01 + COALESCE(c.n
 
 @query("j8_tag_search", TAG_SQL + " SELECT tag AS ref, ROUND(score + CASE WHEN lower(tag) = 'brand#1' THEN 1000 ELSE 0 END, 5) AS score, visible FROM tags WHERE lower(tag) LIKE '%brand#1%'")
 def _(b):
-    return S.tag_results(tag_table(b), "brand#1", ["Asia"]).select("ref", F.round("score", 5).alias("score"), "visible")
+    return S.tag_results(tag_table(b), "Brand#1", ["Asia"]).select("ref", F.round("score", 5).alias("score"), "visible")
 
 
 @query("f6_g6_ranked_results", TAG_SQL + SCORED.replace("\nWITH t AS", ",\nt AS") + PLACES + """
@@ -289,8 +340,8 @@ UNION ALL SELECT 'location', ref, ROUND(score, 5), TRUE, FALSE FROM (SELECT * FR
 UNION ALL SELECT 'tag', tag, ROUND(score, 5), NOT visible, FALSE FROM tags WHERE tag NOT IN ('promo', 'AFRICA', 'Brand#4') AND lower(tag) <> 'asia'""")
 def _(b):
     items = materialize(search_items(b), "search-items")
-    events = S.event_results(items, "").withColumn("ref", F.col("ref").cast("string"))
-    found = events.unionByName(S.location_results(search_places(b, items), "")).unionByName(S.tag_results(tag_table(b), "", ["Asia"]))
+    events = S.event_results(items, None, "").withColumn("ref", F.col("ref").cast("string"))
+    found = events.unionByName(S.location_results(search_places(b, items), None, "")).unionByName(S.tag_results(tag_table(b), "", ["Asia"]))
     return S.ranked(found, "", None, SELECTED).select("type", "ref", F.round("score", 5).alias("score"), "hidden", "picked")
 
 

@@ -117,11 +117,3 @@ def test_nearest_feature_equals_brute_force(spark):
     got = {x.point_id: x.location_key for x in B.nearest_feature(
         spark.createDataFrame(points, "point_id long, lat double, lng double"), spark.createDataFrame(features, "location_key string, at_lat double, at_lng double"), 0.01).collect()}
     assert got == {i: min(((x - lng) ** 2 + (y - lat) ** 2, k) for k, y, x in features)[1] for i, lat, lng in points}
-
-
-def test_a_term_that_only_a_tag_holds_finds_the_location(spark):
-    tags = spark.createDataFrame([("Live Jazz", "a"), ("jazz club", "a"), ("rock", "b")], "tag string, location_key string")
-    places = spark.createDataFrame([("a", "hall one"), ("b", "hall two"), ("c", "jazz bar")], "location_key string, search_text string")
-    assert {r.location_key for r in B._candidates(places, "jazz", tags).collect()} == {"a", "c"} and B._candidates(places, "jazz", tags).count() == 2
-    events = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "x")], "event_id long, location_key string, search_text string")
-    assert {r.event_id for r in B.search_term_events(events, places, "Jazz", tags).collect()} == {1, 3}
