@@ -36,9 +36,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def shingles_of(words: list[bytes]) -> list[bytes]:
-    n = min(SHINGLE, len(words))
-    return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
+def shingles_of(words: list[bytes], n: int = SHINGLE) -> list[bytes]:
+    """Runs of ``n`` words; none if there are fewer."""
+    return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
 class ItemIndex:
@@ -50,12 +50,16 @@ class ItemIndex:
         self.grams: list[np.ndarray] = []
         self.texts: list[set[bytes]] = []
         self.need: list[int] = []
+        # Runs of words to take of a document: those of a shingle, and the lengths of all shorter items.
+        self.runs = {SHINGLE}
         for item, text in items:
             words = words_of(text)
             if words:
+                n = min(SHINGLE, len(words))
+                self.runs.add(n)
                 self.ids.append(item)
-                self.grams.append(np.unique(gram_hashes(hashes.of(words), SHINGLE)))
-                self.texts.append(set(shingles_of(words)))
+                self.grams.append(np.unique(gram_hashes(hashes.of(words), n)))
+                self.texts.append(set(shingles_of(words, n)))
                 self.need.append(int(np.ceil(round(threshold * len(self.texts[-1]), 6))))
         # k of a size partition: one more than the most shingles that any item of it may miss.
         sizes = [len(x).bit_length() for x in self.texts]
@@ -72,9 +76,11 @@ class ItemIndex:
     def matches(self, text: bytes, hashes: WordHash) -> list[tuple[int, int, int]]:
         """(item number, shared shingles, shingles of the item) of every item contained in the text."""
         words = words_of(text)
-        if not words or not len(self.sketch):
+        runs = [n for n in self.runs if n <= len(words)]
+        if not runs or not len(self.sketch):
             return []
-        grams = gram_hashes(hashes.of(words), SHINGLE)
+        hashed = hashes.of(words)
+        grams = np.concatenate([gram_hashes(hashed, n) for n in runs])
         some = np.unique(grams[self.sieve[grams >> np.uint64(44)]])
         hit = self.sketch[np.searchsorted(self.sketch, some) % len(self.sketch)] == some
         if not hit.any():
@@ -85,7 +91,7 @@ class ItemIndex:
         out, exact = [], None
         for i in candidates:
             if np.isin(self.grams[i], own, assume_unique=True).sum() >= self.need[i]:
-                exact = set(shingles_of(words)) if exact is None else exact
+                exact = {x for n in runs for x in shingles_of(words, n)} if exact is None else exact
                 shared = len(self.texts[i] & exact)
                 if shared >= self.need[i]:
                     out.append((i, shared, len(self.texts[i])))
@@ -108,8 +114,9 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, item_id, shared, shingles)`` of every document that contains a test item.
 
-    Texts are folded to words of letters and digits; an item of fewer than five words is one shingle of all
-    its words, which only a document of just these words holds. Null or blank items and texts match nothing.
+    Texts are folded to words of letters and digits; an item of fewer than five words is one shingle of all its
+    words, looked for among the runs of as many words of every document. Null or blank items and texts match nothing;
+    a very long text is searched whole, in one task.
     Repeated documents or items give a row each; null ids are carried along. Empty tables give no rows.
     """
     parts = []
