@@ -31,10 +31,12 @@ EPOCHS = 10
 BATCH = 32
 RATE = 0.01
 SEED = 11
+# Blocks of one page that training reads; every page is labelled whole.
 LONGEST = 160
 
 # Elements of HTML by the way they show text.
-UNSEEN = "script style noscript template textarea select svg iframe object canvas head math datalist".split()
+RAW = "script style".split()
+UNSEEN = "title noscript template textarea select svg iframe object canvas datalist".split()
 BLOCKS = set(
     "address article aside blockquote body br button caption center col dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table "
@@ -45,9 +47,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"br", "button"}
 
+# Scripts and styles hide all up to their end, other unseen elements only if they have an end; closed in itself, each hides only its tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(UNSEEN) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|(" + "|".join(UNSEEN) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?</\2\s*>"
+    r"|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[!?/][^>]*>)|([^<]+|<)", re.S | re.I,
 )
 _MARKS = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -72,7 +76,11 @@ class Leaf:
 
 
 def leaves(page: str) -> list[Leaf]:
-    """Leaf blocks of a page in order. Elements left open are closed with the element around them."""
+    """Leaf blocks of a page in order, of pages of any length.
+
+    Elements left open are closed with the element around them. A page whose head is not closed, or with unseen elements
+    that close in themselves or never, keeps the text that follows; formulas are text.
+    """
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -94,18 +102,21 @@ def leaves(page: str) -> list[Leaf]:
         del stack[to:]
 
     for m in _TOKEN.finditer(page):
-        text = m[5]
+        text = m[6]
         if text is not None:
             parts.append(text)
             if state[0] > 0:
                 state[1] += len(text)
             continue
-        if m[3] is None:
+        if m[4] is None:
             continue
-        tag = m[3].lower()
+        tag = m[4].lower()
         if tag in BLOCKS:
             flush()
-        if m[2]:
+            # What cannot stand in a head ends it; its end tag may be left out.
+            if stack and stack[-1][0] == "head":
+                pop(len(stack) - 1)
+        if m[3]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop(i)
@@ -119,11 +130,11 @@ def leaves(page: str) -> list[Leaf]:
                     break
                 if stack[i][0] in ("table", "ul", "ol", "dl", "div", "section", "article", "td", "th", "blockquote", "li") and stack[i][0] not in ends:
                     break
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag not in VOID and not m[5].endswith("/"):
             marks = [tag]
-            if "=" in m[4]:
-                for found in _MARKS.findall(m[4]):
-                    marks += [x.lower() for x in _PART.findall("".join(found))][:12]
+            if "=" in m[5]:
+                for found in _MARKS.findall(m[5]):
+                    marks += [x.lower() for x in _PART.findall("".join(found))]
             stack.append((tag, tuple(marks)))
             state[0] += tag == "a"
     flush()
@@ -376,7 +387,9 @@ def trained(pages: DataFrame) -> Labeller:
     fit = pages.select("page_id", "html").filter(F.length("html").between(1, SAMPLE_CHARS))
     # Ids are chosen first, so that tasks send ids and not their own best pages to the driver.
     chosen = fit.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
-    rows = fit.join(F.broadcast(chosen), "page_id", "left_semi").dropDuplicates(["page_id"]).orderBy(F.xxhash64("page_id"), "page_id").collect()
+    # Of several pages with one id the least is taken, so that training can be repeated.
+    own = fit.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    rows = own.orderBy(F.xxhash64("page_id"), "page_id").collect()
     blocks = [leaves(r[1]) for r in rows]
     texts = [b.text for page in blocks for b in page if len(b.text.split()) > 5]
     made, labels = composed(texts)
