@@ -57,17 +57,20 @@ def fingerprint(text: bytes) -> int:
     return _signed(int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` per document; a null or blank text has fingerprint zero."""
+def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
+    """``(doc_id, fp)`` per document, and the columns ``kept``; a null or blank text has fingerprint zero."""
+    columns = ["doc_id", *kept]
+    schema = docs.select(F.col("doc_id").cast("long"), *kept).schema.add("fp", "long")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = pa.array([fingerprint(t) for t in raw_texts(batch)], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), fps], ["doc_id", "fp"])
+            ids = batch.column("doc_id").cast(pa.int64())
+            return pa.RecordBatch.from_arrays([ids, *[batch.column(c) for c in kept], fps], [*columns, "fp"])
 
         return work
 
-    return map_texts(docs, ["doc_id", "text"], make, "doc_id long, fp long")
+    return map_texts(docs, [*columns, "text"], make, schema)
 
 
 def _spanning(table_: pa.Table) -> pa.Table:
@@ -130,27 +133,39 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(inside).unionByName(through.distinct())
 
 
+def _labels(prints: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` of the staged fingerprints: the group's smallest fingerprint and its smallest document id."""
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(near_links(distinct.select("fp")))
+    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
+    return stage(member.join(least, "root").select("fp", "root", "component_id"), "groups")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` per document, the component being the smallest id reachable.
 
-    Copies have one fingerprint and are one node. Repeated rows get a row each. Rows without an id belong
-    to the group of their text; a group without any id has a null component. Null and blank texts form
-    one group (with whatever lies within four bits of zero).
+    Copies have one fingerprint and are one node. Repeated rows get a row each, and so do different texts with one
+    id, each in the group of its text. Rows without an id belong to the group of their text; a group without any id
+    has a null component. Null and blank texts form one group (with whatever lies within four bits of zero). A very
+    long text is read whole, in one task.
     """
     prints = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(near_links(distinct.select("fp")))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = stage(member.join(least, "root").select("fp", "component_id"), "groups")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_labels(prints).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """One document per group, the one with the smallest id. Rows without an id cannot be named, so they stay."""
-    later = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    first = docs.filter("doc_id IS NOT NULL").join(later, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id IS NULL"))
+    """One document per group, the one with the smallest id. Rows without an id cannot be named, so they stay.
+
+    A document is told by its id and its text: of different texts with one id each is judged in its own group, and if
+    several of a group have the smallest id, one of them stays.
+    """
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    prints = stage(fingerprints(keyed, "_text_key"), "fingerprints")
+    named = prints.filter("doc_id IS NOT NULL").join(_labels(prints), "fp").filter("doc_id = component_id")
+    first = named.groupBy("root", "doc_id").agg(F.min("_text_key").alias("_text_key")).drop("root").distinct()
+    stays = keyed.filter("doc_id IS NOT NULL").join(first, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return stays.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op10_simhash_groups(spark, folder: str) -> DataFrame:
