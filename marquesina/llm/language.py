@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marquesina.llm.common import MIX, WordHash, crc_mod, table
-from marquesina.llm.exchange import answered, in_blocks, pack6, share_cuts, shares_of, unpack6, with_replies
+from marquesina.llm.exchange import answered, in_blocks, pack6, share_cuts, shares_of, text_bytes, unpack6, with_replies
 
 FOLDS = 7
 HELD_OUT = 2
@@ -220,11 +220,12 @@ def scores(docs: DataFrame) -> DataFrame:
     id belongs to fold 0. An empty table gives no rows; without training documents all estimates but the
     uniform one are zero.
     """
-    shares = shares_of(docs)
+    size = text_bytes(docs)
+    shares = shares_of(docs, size)
     fold = F.coalesce(crc_mod(F.col("doc_id"), FOLDS), F.lit(0))
     kind = F.when(fold == HELD_OUT, SCORED).when(fold == TUNE, TUNED).otherwise(LEARN)
-    blocks = in_blocks(docs, "doc_id", F.col("text").cast("binary").alias("text"), kind=kind)
-    replies = answered(blocks, _asker(shares), "block long, share int, one binary, two binary, counts binary", _answer, "counts")
+    blocks = in_blocks(docs, size, "doc_id", F.col("text").cast("binary").alias("text"), kind=kind)
+    replies = answered(blocks, shares, _asker(shares), "block long, share int, one binary, two binary, counts binary", _answer, "counts")
     learned = np.zeros(3, np.int64)
     for row in replies.filter("block = -1").select("reply").toLocalIterator():
         learned += np.frombuffer(row[0], dtype="<i8")
@@ -233,11 +234,11 @@ def scores(docs: DataFrame) -> DataFrame:
     starts, replies = (int(begun[0]), int(begun[1])), replies.filter("block >= 0")
     tuned = F.col("block") % 4 == TUNED
     rest = max(1, total - tuning)
-    histogram = with_replies(blocks.filter(tuned), replies.filter(tuned), _tuner(shares, rest, kinds, starts), "level long, p1 long, p2 long, n long")
+    histogram = with_replies(blocks.filter(tuned), size, replies.filter(tuned), _tuner(shares, rest, kinds, starts), "level long, p1 long, p2 long, n long")
     # Bounded by the grid: levels times the possible rounded log frequencies, whatever the corpus.
     cells = [tuple(r) for r in histogram.groupBy("level", "p1", "p2").agg(F.sum("n")).collect()]
     weights = mixture(cells, kinds)
-    out = with_replies(blocks, replies, _scorer(shares, total, kinds, starts, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = with_replies(blocks, size, replies, _scorer(shares, total, kinds, starts, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from marquesina.llm.common import MEMO, MIX, table
-from marquesina.llm.exchange import answered, in_blocks, share_cuts, shares_of, with_replies
+from marquesina.llm.exchange import answered, in_blocks, share_cuts, shares_of, text_bytes, with_replies
 
 # Words a removed stretch must have from one earlier document.
 MIN_WORDS = 20
@@ -187,10 +187,11 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _run(docs: DataFrame, min_words: int, whole: bool, schema: str) -> DataFrame:
-    shares = shares_of(docs)
-    blocks = in_blocks(docs, "doc_id", F.col("text").cast("binary").alias("text"))
-    replies = answered(blocks, _asker(shares), "block long, share int, keys binary, docs binary", _answer, "first-units")
-    return with_replies(blocks, replies, _finisher(shares, min_words, whole), schema)
+    total = text_bytes(docs)
+    shares = shares_of(docs, total)
+    blocks = in_blocks(docs, total, "doc_id", F.col("text").cast("binary").alias("text"))
+    replies = answered(blocks, shares, _asker(shares), "block long, share int, keys binary, docs binary", _answer, "first-units")
+    return with_replies(blocks, total, replies, _finisher(shares, min_words, whole), schema)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
