@@ -28,7 +28,7 @@ BLOCK_BYTES = 6_000_000
 
 # Text whose keys one share holds, and blocks or shares that one task takes, one after the other.
 SHARE_BYTES = 12_000_000
-IN_TASK = 6
+IN_TASK = 3
 
 
 def text_bytes(docs: DataFrame) -> int:
