@@ -286,27 +286,32 @@ def ranked(results: DataFrame, term: str, selected_location: str | None, states:
         "type", "hidden", F.col("picked").desc(), F.col("score").desc(), "ref")
 
 
-def nearest_feature(points: DataFrame, features: DataFrame, size: float, rounds: int = 40) -> DataFrame:
-    """Nearest feature of each point, the lower key on a tie.
+def nearest_feature(points: DataFrame, features: DataFrame, size: float) -> DataFrame:
+    """Nearest feature of each point, the lower key on a tie (F10); null where the point or every feature has no place.
 
     Features lie in square cells of ``size`` degrees; a point meets the features of the cells around it.
     What it finds is certain once it is no farther than the rim of the cells searched, otherwise the point
-    goes on with cells twice as wide. Each round works on the points still open and on features by cell.
+    goes on with cells twice as wide. Each round works on the points still open and on features by cell; all
+    points are settled at the latest when a cell is as wide as the farthest feature is away.
     """
     points = points.select("point_id", "lat", "lng")
-    found = None
-    for _ in range(rounds):
+    features = features.filter("at_lat IS NOT NULL AND at_lng IS NOT NULL")
+    placed = "lat IS NOT NULL AND lng IS NOT NULL"
+    nowhere = points if features.isEmpty() else points.filter(f"NOT ({placed})")
+    found = nowhere.select("point_id", F.lit(None).cast(features.schema["location_key"].dataType).alias("location_key"))
+    if features.isEmpty():
+        return found
+    points = points.filter(placed)
+    while True:
         cell = lambda c: F.floor(F.col(c) / size).cast("long")
-        placed = features.select("location_key", "at_lat", "at_lng", cell("at_lat").alias("cy"), cell("at_lng").alias("cx"))
+        held = features.select("location_key", "at_lat", "at_lng", cell("at_lat").alias("cy"), cell("at_lng").alias("cx"))
         steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
         around = points.withColumn("s", F.explode(steps)).select("point_id", "lat", "lng", (cell("lat") + F.col("s.dy")).alias("cy"), (cell("lng") + F.col("s.dx")).alias("cx"))
         d = F.pow(F.col("lng") - F.col("at_lng"), F.lit(2)) + F.pow(F.col("lat") - F.col("at_lat"), F.lit(2))
-        best = around.join(placed, ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), F.col("location_key"))).alias("m"))
+        best = around.join(held, ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), F.col("location_key"))).alias("m"))
         seen = materialize(points.join(best, "point_id", "left"), "nearest")
-        sure = seen.filter(F.col("m.d") <= size * size).select("point_id", F.col("m.location_key").alias("location_key"))
-        found = sure if found is None else found.unionByName(sure)
+        found = found.unionByName(seen.filter(F.col("m.d") <= size * size).select("point_id", F.col("m.location_key").alias("location_key")))
         points = seen.filter(F.col("m").isNull() | (F.col("m.d") > size * size)).select("point_id", "lat", "lng")
-        if points.isEmpty() or features.isEmpty():
-            break
+        if points.isEmpty():
+            return found
         size *= 2
-    return found

@@ -144,9 +144,12 @@ def _(b):
     return responses(b).select("crawl_result_id", F.size(J.response_events(F.col("extracted_content"))).alias("n"))
 
 
-@query("k1_json_containers", "SELECT id, TRUE AS list_ok, FALSE AS name_ok FROM {xev}")
+@query("k1_json_containers", "SELECT id, id % 5 < 2 AS is_container, id % 5 = 0 AS is_list FROM {xev}")
 def _(b):
-    return b.xev.select("id", J.json_container(F.col("occurrences")).isNotNull().alias("list_ok"), J.json_container(F.col("name")).isNotNull().alias("name_ok"))
+    kind = F.col("id") % 5
+    raw = F.when(kind == 0, F.col("occurrences")).when(kind == 1, F.concat(F.lit('{"url": "'), "url", F.lit('"}'))).when(kind == 2, F.col("id").cast("string")).when(kind == 3, F.col("url"))
+    held = J.json_container(raw)
+    return b.xev.select("id", held.isNotNull().alias("is_container"), F.coalesce(F.startswith(F.to_json(held), F.lit("[")), F.lit(False)).alias("is_list"))
 
 
 @query("k2_parsed_tags", "SELECT doc_id AS id, lang || '|' || source AS tags FROM {documents}")
@@ -292,10 +295,9 @@ def _(b):
 
 @query("h4_h5_titles", """
 SELECT doc_id, name AS stripped, CASE WHEN doc_id % 3 = 0 OR LENGTH(name) >= 5 THEN name ELSE name || ': ' || source END AS core
-FROM (SELECT doc_id, source, trim(regexp_replace(name, '[^a-zA-Z ]', '', 'g')) AS name FROM {doc_row})
-WHERE LENGTH(name) > 0""")
+FROM (SELECT doc_id, source, trim(regexp_replace(name, '[^a-zA-Z ]', '', 'g')) AS name FROM {doc_row})""")
 def _(b):
-    bare = b.doc_row.select("doc_id", "source", T.strip(F.regexp_replace("name", "[^a-zA-Z ]", "")).alias("name")).filter(F.length("name") > 0)
+    bare = b.doc_row.select("doc_id", "source", T.strip(F.regexp_replace("name", "[^a-zA-Z ]", "")).alias("name"))
     full = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[free] FIDO  Grand Hall Presents: "), "name")).otherwise(
         F.concat("name", F.lit(": "), "source"))
     dressed = F.concat(F.lit(" [members only] fido "), "name")
@@ -339,10 +341,13 @@ def _(b):
                           strings(T.image_urls(pics, "https://m.example.org/a/b")).alias("images"))
 
 
-@query("h21_url_and_flag_tests", "SELECT page_id, starts_with(url, 'http') AS url_ok, FALSE AS bare_ok, page_id % 2 = 0 AS flag FROM {pages}")
+@query("h21_url_and_flag_tests", """
+SELECT page_id, starts_with(url, 'http') AS url_ok, page_id % 3 = 0 AND starts_with(url, 'http') AS other_ok, page_id % 2 = 0 AS flag FROM {pages}""")
 def _(b):
     mark = F.when(F.col("page_id") % 2 == 0, "🇻🇪").otherwise("🎭")
-    return b.pages.select("page_id", T.is_valid_url(F.col("url")).alias("url_ok"), T.is_valid_url(F.concat(F.lit("ftp://"), "url")).alias("bare_ok"), T.is_country_flag(mark).alias("flag"))
+    bare = F.substring_index("url", "://", -1)
+    other = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("ftp://"), bare)).otherwise(bare)
+    return b.pages.select("page_id", T.is_valid_url(F.col("url")).alias("url_ok"), T.is_valid_url(other).alias("other_ok"), T.is_country_flag(mark).alias("flag"))
 
 
 @query("h19_write_truncations", "SELECT doc_id, LEAST(LENGTH(text), 500) AS name_size, LEAST(LENGTH(text), 2000) AS url_size FROM {documents}")

@@ -180,10 +180,12 @@ def _(b):
 
 
 @query("i8_url_templates", """
-SELECT page_id, CASE WHEN instr(url, '?') > 0 THEN url || '&m=december&y=1999&n=january&ny=2000' ELSE url END AS url FROM {pages}""")
+SELECT page_id, CASE WHEN instr(url, '?') > 0 THEN url || '&m=' || lower(monthname(d)) || '&y=' || CAST(year(d) AS STRING) || '&n=' || lower(monthname(n)) || '&ny=' || CAST(year(n) AS STRING) ELSE url END AS url
+FROM (SELECT *, d + INTERVAL 1 MONTH AS n FROM (SELECT *, DATE '1999-01-15' + INTERVAL (page_id % 30) MONTH AS d FROM {pages}))""")
 def _(b):
     marked = F.when(F.instr("url", "?") > 0, F.concat("url", F.lit("&m={{month}}&y={{year}}&n={{next_month}}&ny={{next_month_year}}"))).otherwise(F.col("url"))
-    return b.pages.select("page_id", resolve_url_template(marked, F.lit("1999-12-31").cast("date")).alias("url"))
+    day = F.add_months(F.lit("1999-01-15").cast("date"), (F.col("page_id") % 30).cast("int"))
+    return b.pages.select("page_id", resolve_url_template(marked, day).alias("url"))
 
 
 @query("h17_hostnames", """

@@ -131,11 +131,25 @@ UNION ALL SELECT a.id, 4, ln.id FROM {{ask}} a JOIN ln ON ln.key = {bare('a.even
 b AS (SELECT id, arg_min(location_id, level * 1000000 + location_id) AS location_id FROM h GROUP BY id)
 SELECT a.id, b.location_id, CASE WHEN a.id % 5 = 0 THEN 1 ELSE 2 END AS n_tags FROM {{ask}} a LEFT JOIN b ON b.id = a.id WHERE a.id % 7 <> 0""")
 def _(b):
+    return prepared(b, False)
+
+
+@query("m2_prepared_with_fuzzy_venues")
+def _(b):
+    return prepared(b, True)
+
+
+def to_prepare(b):
     rules = b.spark.createDataFrame([("rewrite", "jazz", "Jazz"), ("exclude", "free", None), ("remove", "gone", None)], "rule_type string, key string, replacement string")
     second = F.when(F.col("id") % 7 == 0, "Gone").when(F.col("id") % 5 == 0, "free").otherwise("open air")
     x = b.ask.select("id", F.col("id").alias("crawl_result_id"), F.col("event_name").alias("name"), "location_name", "sublocation", "site_name",
                      F.concat(F.lit('["jazz","'), second, F.lit('"]')).alias("tags"), F.lit(None).cast("string").alias("emoji"))
-    out = U.prepare(x, b.res, b.loc, b.alias, rules, fuzzy=False)
+    return x, rules
+
+
+def prepared(b, fuzzy):
+    x, rules = to_prepare(b)
+    out = U.prepare(x, b.res, b.loc, b.alias, rules, fuzzy=fuzzy)
     n = out["tags"].groupBy("id").agg(F.count("*").cast("int").alias("n_tags"))
     return out["rows"].join(n, "id", "left").select("id", "location_id", "n_tags")
 

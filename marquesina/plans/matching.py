@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquesina.functions.names import add_name_features, false_positive
 from marquesina.operators import matching as M
 from marquesina.plans.bindings import DOCUMENTS_DAY
 from marquesina.plans.registry import query
@@ -77,10 +76,11 @@ def word_sql(c, stemmed):
 
 FALSE_POSITIVE = f"""(a.marks <> b.marks OR list_bool_or(list_transform(range(1, len(a.numbers) + 1), lambda i: a.numbers[i] <> '' AND b.numbers[i] <> '' AND a.numbers[i] <> b.numbers[i]))
   OR (a.opp <> '' AND b.opp <> '' AND NOT {either('a.opp', 'b.opp')}) OR (len(a.times) > 0 AND len(b.times) > 0 AND a.times <> b.times))"""
-SIMILAR = f"""(NOT {FALSE_POSITIVE} AND (a.norm = b.norm OR a.strp = b.strp OR (LENGTH(a.norm) >= 5 AND LENGTH(b.norm) >= 5 AND {either('a.norm', 'b.norm')})
+ALIKE = f"""(a.norm = b.norm OR a.strp = b.strp OR (LENGTH(a.norm) >= 5 AND LENGTH(b.norm) >= 5 AND {either('a.norm', 'b.norm')})
   OR (LENGTH(a.strp) >= 5 AND LENGTH(b.strp) >= 5 AND {either('a.strp', 'b.strp')})
   OR (CASE WHEN a.core = b.core THEN NOT (a.has_sub AND b.has_sub) OR {either('a.sub', 'b.sub')} ELSE LENGTH(a.core) >= 5 AND LENGTH(b.core) >= 5 AND {either('a.core', 'b.core')} END)
-  OR {word_sql('words', False)} OR {word_sql('stems', True)}))"""
+  OR {word_sql('words', False)} OR {word_sql('stems', True)})"""
+SIMILAR = f"(NOT {FALSE_POSITIVE} AND {ALIKE})"
 INDEX_SQL = f"""
 ix AS (SELECT g.id AS event_id, g.name, g.location_id, g.source_id, d.day, CAST(ROUND(l.lat, 5) AS STRING) || ',' || CAST(ROUND(l.lng, 5) AS STRING) AS point
   FROM {{gold}} g JOIN (SELECT id, first_day AS day FROM {{gold}} UNION ALL SELECT id, first_day + 7 FROM {{gold}}) d ON d.id = g.id LEFT JOIN {{loc}} l ON l.id = g.location_id
@@ -100,13 +100,16 @@ def _(b):
     return pairs.select(F.col("block").cast("long").alias("location_id"), "name", "other", "exact")
 
 
-@query("h6_false_positives", "WITH nm AS (SELECT DISTINCT name FROM (SELECT lower(name) AS name FROM {ev} UNION SELECT 'jazz ' || name || ' set ' || CAST(id % 4 AS STRING) FROM {ev})), " + FEATURES + f"""
-SELECT a.name, b.name AS other FROM feat a JOIN feat b ON a.norm[1:6] = b.norm[1:6] AND a.name < b.name WHERE {FALSE_POSITIVE}""")
+@query("h6_false_positives", """
+WITH low AS (SELECT DISTINCT id % 4 AS k, lower(name) AS name FROM {ev}),
+nm AS (SELECT lead || name AS name FROM (SELECT DISTINCT name FROM low), (VALUES (''), ('early '), ('late '), ('men '), ('women ')) v(lead)
+  UNION SELECT 'jazz ' || name || ' set ' || CAST(k AS STRING) FROM low),""" + FEATURES + f"""
+SELECT a.name, b.name AS other FROM feat a JOIN feat b ON a.name < b.name WHERE {FALSE_POSITIVE} AND {ALIKE}""")
 def _(b):
-    low = b.ev.select(F.lower("name").alias("name")).union(b.ev.select(F.concat(F.lit("jazz "), "name", F.lit(" set "), (F.col("id") % 4).cast("string")))).distinct()
-    f = add_name_features(low).withColumn("head", F.substring("f.norm", 1, 6))
-    g = f.select(F.col("name").alias("other"), F.col("f").alias("g"), "head")
-    return f.join(g, "head").filter((F.col("name") < F.col("other")) & false_positive(F.col("f"), F.col("g"))).select("name", "other")
+    low = F.lower("name")
+    made = F.explode(F.array(
+        low, F.concat(F.lit("jazz "), low, F.lit(" set "), (F.col("id") % 4).cast("string")), *[F.concat(F.lit(f"{lead} "), low) for lead in ("early", "late", "men", "women")]))
+    return M.false_positives(b.ev.select(made.alias("name")).distinct())
 
 
 LEVELS = " UNION ALL ".join(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marquesina.functions import tags as TG, text as T, venues as V
 from marquesina.operators import rules as R
 from marquesina.plans.registry import query
+from marquesina.sources.tables import edges_of, settings_of
 
 
 def rule_table(b):
@@ -122,3 +123,20 @@ def _(b):
     name = F.when(F.col("c_nationkey") == 3, "Online!").otherwise(F.concat(F.when(F.col("c_nationkey") % 5 == 0, "The Grand, ").otherwise("The "), "c_mktsegment"))
     return b.customer.select("c_custkey", V.venue_key(name).alias("key"), V.plain_venue_name(name).alias("plain"),
                              V.street_key(F.concat("c_mktsegment", F.lit(" Street East "))).alias("street"))
+
+
+@query("a16_related_tag_edges", "SELECT tag, related, weight FROM {edge}")
+def _(b):
+    near = F.collect_list(F.array(F.col("related"), F.col("weight").cast("string")))
+    objects = b.edge.groupBy("tag").agg(near.alias("near")).select(F.to_json(F.create_map("tag", "near")).alias("value"))
+    return edges_of(objects)
+
+
+@query("a16_tag_settings", """
+SELECT 'tag' AS kind, r_name AS name, NULL AS colour FROM {region} UNION ALL SELECT 'marker', n_name, '#' || CAST(100 + n_nationkey AS STRING) FROM {nation}""")
+def _(b):
+    tags = b.region.join(b.nation, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct(
+        "n_name", F.concat(F.lit("#"), (100 + F.col("n_nationkey")).cast("string"))))).alias("markerColors"))
+    geotags, colours = settings_of(tags.select(F.to_json(F.struct(F.array("r_name").alias("geotags"), "markerColors")).alias("value")))
+    return geotags.select(F.lit("tag").alias("kind"), F.col("tag").alias("name"), F.lit(None).cast("string").alias("colour")).unionByName(
+        colours.select(F.lit("marker").alias("kind"), F.col("emoji").alias("name"), "colour"))

@@ -20,21 +20,29 @@ def write_snapshot(df: DataFrame, folder: str, name: str, version: int, partitio
     return path
 
 
-def related_tag_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(tag, related, weight) from a JSON object of ``tag: [[related, weight], ...]``."""
-    text = spark.read.text(path, wholetext=True)
+def edges_of(objects: DataFrame) -> DataFrame:
+    """(tag, related, weight) from JSON objects ``tag: [[related, weight], ...]`` in column ``value``."""
     table = F.from_json("value", "map<string,array<array<string>>>")
-    return text.select(F.explode(table).alias("tag", "near")).select("tag", F.explode("near").alias("n")).select(
+    return objects.select(F.explode(table).alias("tag", "near")).select("tag", F.explode("near").alias("n")).select(
         "tag", F.get("n", F.lit(0)).alias("related"), F.get("n", F.lit(1)).cast("double").alias("weight"))
 
 
-def tag_settings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Geographic tags and (emoji, colour) pairs from the tag settings file."""
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", "struct<geotags:array<string>,markerColors:map<string,string>>").alias("s"))
+def settings_of(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Geographic tags and (emoji, colour) pairs from JSON objects in column ``value``."""
+    parsed = objects.select(F.from_json("value", "struct<geotags:array<string>,markerColors:map<string,string>>").alias("s"))
     return parsed.select(F.explode("s.geotags").alias("tag")), parsed.select(F.explode("s.markerColors").alias("emoji", "colour"))
 
 
+def related_tag_edges(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of the file of related tags, one object."""
+    return edges_of(spark.read.text(path, wholetext=True))
+
+
+def tag_settings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Geographic tags and marker colours of the tag settings file, one object."""
+    return settings_of(spark.read.text(path, wholetext=True))
+
+
 def write_feed(feed: DataFrame, path: str) -> None:
     """Feed rows as JSON lines, times and dates as text."""
     feed.write.mode("overwrite").json(path)

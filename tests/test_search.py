@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from marquesina.operators import browse as B, search as X
+from marquesina.sources.tables import related_tag_edges, tag_settings
 
 
 def texts_of(spark, rows):
@@ -57,3 +58,18 @@ def test_tag_filters_over_bitmaps(spark):
         assert {x.event_id for x in B.filter_by_tags(events, index, index, events, states).collect()} == want(some, every, bad)
     counts = B.tag_counts(index).groupBy("tag").agg(F.sum("events").alias("n"))
     assert {x.tag: x.n for x in counts.collect()} == {t: sum(t in s for s in tags.values()) for t in "abcdef"}
+
+
+def test_readers_of_tag_files(spark, tmp_path):
+    (tmp_path / "related.json").write_text('{\n "jazz": [["blues", 0.5], ["soul", 1]],\n "rock": []\n}')
+    (tmp_path / "tags.json").write_text('{"geotags": ["North"], "markerColors": {"🎵": "#123"}, "other": 1}')
+    assert {tuple(r) for r in related_tag_edges(spark, str(tmp_path / "related.json")).collect()} == {("jazz", "blues", 0.5), ("jazz", "soul", 1.0)}
+    tags, colours = tag_settings(spark, str(tmp_path / "tags.json"))
+    assert [r.tag for r in tags.collect()] == ["North"] and [tuple(r) for r in colours.collect()] == [("🎵", "#123")]
+
+
+def test_points_without_a_place_stay(spark):
+    points = spark.createDataFrame([(1, None, 1.0), (2, 50.0, 60.0)], "point_id long, lat double, lng double")
+    features = spark.createDataFrame([("a", 0.0, 0.0), ("b", None, 1.0)], "location_key string, at_lat double, at_lng double")
+    assert {tuple(r) for r in B.nearest_feature(points, features, 0.01).collect()} == {(1, None), (2, "a")}
+    assert {tuple(r) for r in B.nearest_feature(points, features.filter("location_key = 'b'"), 0.01).collect()} == {(1, None), (2, None)}
