@@ -347,8 +347,8 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
-def _compared(rows: pa.Table) -> pa.Table:
-    """Part sums of a share of the terms: common terms of two sources, histogram of shares, leading terms."""
+def _compared(rows: pa.Table, base: np.ndarray) -> pa.Table:
+    """Part sums of a share of the terms: common terms of two sources, histogram of shares, leading terms with their run."""
     names = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in ("lang", "source")], ["lang", "source"]).to_pylist()
     code: dict[tuple[str, str], int] = {}
     group = np.array([code.setdefault((r["lang"], r["source"]), len(code)) for r in names], dtype=np.int64)
@@ -392,15 +392,14 @@ def _compared(rows: pa.Table) -> pa.Table:
         lang, source = ([known[g][k] for g in who.tolist()] for k in (0, 1))
         others = [known[g][1] for g in what.tolist()] if part == "pair" else [None] * len(who)
         numbers = what if part != "pair" else np.full(len(who), -1)
-        parts.append(pa.table([pa.array([part] * len(who), pa.string()), pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(others, pa.string()), pa.array(numbers, pa.int64()), pa.array(value, pa.int64())], ["part", "lang", "source", "other", "number", "value"]))
+        runs = np.searchsorted(base, numbers, "right") - 1 if part == "term" else np.full(len(who), -1)
+        parts.append(pa.table([pa.array([part] * len(who), pa.string()), pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(others, pa.string()), pa.array(numbers, pa.int64()), pa.array(value, pa.int64()), pa.array(runs, pa.int64())], ["part", "lang", "source", "other", "number", "value", "run"]))
     return pa.concat_tables(parts)
 
 
 def _spelled(top: DataFrame, numbered: DataFrame, runs: Runs) -> DataFrame:
     """Terms of the ordinals in ``number``, told by the transducer of their run."""
     base = runs.base
-    starts = top.sparkSession.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(base, base[1:]))], "run long, _from long, _to long")
-    placed = top.join(F.broadcast(starts), (F.col("number") >= F.col("_from")) & (F.col("number") < F.col("_to"))).select(*top.columns, "run")
 
     def spell(rows: pa.Table, own: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -410,7 +409,7 @@ def _spelled(top: DataFrame, numbered: DataFrame, runs: Runs) -> DataFrame:
         item = pa.array([told[o] for o in rows.column("number").to_pylist()], pa.string())
         return pa.table([rows.column("lang"), rows.column("source"), item, rows.column("value"), rows.column("rank")], ["lang", "source", "item", "value", "rank"])
 
-    return placed.groupBy("run").cogroup(numbered.select("run", "packed").groupBy("run")).applyInArrow(spell, "lang string, source string, item string, value long, rank int")
+    return top.groupBy("run").cogroup(numbered.select("run", "packed").groupBy("run")).applyInArrow(spell, "lang string, source string, item string, value long, rank int")
 
 
 def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -437,9 +436,9 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> Data
     groups = groups.join(langs, "lang").select("lang", "source", "v", whole.alias("whole"), "lang_whole", F.when(whole > 0, F.expr(f"1 + {SCALE} div (n + v)")).otherwise(1).alias("absent"))
     groups = stage(groups, "source-sizes")
     few = small_or_joined(groups)
-    chunks = counts.count() // CHUNK + 1
+    chunks, base = counts.count() // CHUNK + 1, runs.base
     dealt = counts.join(few.select("lang", "source", "whole", "lang_whole"), ["lang", "source"]).withColumn("chunk", F.pmod(F.xxhash64("ordinal"), F.lit(chunks)))
-    parts = dealt.groupBy("chunk").applyInArrow(_compared, "part string, lang string, source string, other string, number long, value long")
+    parts = dealt.groupBy("chunk").applyInArrow(lambda t: _compared(t, base), "part string, lang string, source string, other string, number long, value long, run long")
     parts = stage(parts, "source-parts")
     # A source's shares against those of absent terms, both ways, then the terms that neither has.
     shares = parts.filter("part = 'share'").groupBy("lang", "source", F.col("number").alias("p")).agg(F.sum("value").alias("times"))
@@ -454,7 +453,7 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> Data
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by_value))
     by_ordinal = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "number")
-    lead = parts.filter("part = 'term'").select("lang", "source", "number", "value").withColumn("rank", F.row_number().over(by_ordinal)).filter(F.col("rank") <= top)
+    lead = parts.filter("part = 'term'").select("lang", "source", "number", "value", "run").withColumn("rank", F.row_number().over(by_ordinal)).filter(F.col("rank") <= top)
     lead = _spelled(lead, numbered, runs)
     columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
     return columns(pairs, "pair").unionByName(columns(lead, "term"))
