@@ -58,13 +58,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder of this application on shared storage, deleted with its other intermediates."""
+    return f"{_stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written files.
 
     Unlike a cache this survives the loss of executors, and it cuts the lineage of loops.
     """
     spark = df.sparkSession
-    path = f"{_stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = work_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

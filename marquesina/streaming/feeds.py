@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marquesina.operators.content import extracted_rows
+from marquesina.sources.store import KeyedTable
+
 LOG_SCHEMA = "event string, run string, seq long, at timestamp, source_name string, hostname string, event_count int, events_extracted int, content_bytes long, tier int, error string"
 
 
@@ -40,3 +44,37 @@ def per_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpo
 def append_once(df: DataFrame, folder: str, batch: int) -> None:
     """Write a batch into its own folder, so that a repeated batch replaces itself."""
     df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch}")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that streams with state of their own need, for streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Append what a stream yields from all that has arrived, then stop."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+    query.awaitTermination()
+
+
+def feed_extractions(contents: DataFrame, held: KeyedTable, checkpoint: str):
+    """New extracted contents of a stream as event rows in ``held``, keyed by result and position.
+
+    ``contents``: crawl_result_id, extracted_content. A slice handed over again, and a result that arrives a
+    second time, change nothing: results that have rows are left out, and rows are put in by key.
+    """
+    def work(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy("crawl_result_id").agg(F.min("extracted_content").alias("extracted_content"))
+        held.upsert(extracted_rows(first, held.read().select("crawl_result_id")))
+
+    return per_batch(contents, work, checkpoint)
