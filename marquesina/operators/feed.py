@@ -189,3 +189,21 @@ def geojson_lines(features: DataFrame) -> DataFrame:
         F.lit("Feature").alias("type"),
         F.struct(F.lit("Point").alias("type"), F.array(F.col("lng").cast("double"), F.col("lat").cast("double")).alias("coordinates")).alias("geometry"),
         props.alias("properties"))).alias("value"))
+
+
+def document_lines(lines: DataFrame, order: list[str], head: str, tail: str) -> DataFrame:
+    """Lines (place, copy, value) that, read in order of place, copy and text, are one document.
+
+    ``lines``: value (JSON text) and the columns of ``order``. The first element has no comma before it, all others
+    have; equal lines are numbered, so that just one of them can be first. No lines make an empty list.
+    """
+    place = F.struct(*[F.col(c) for c in order], "value")
+    counted = lines.groupBy(*order, "value").agg(F.count("*").alias("n"))
+    rows = counted.select(place.alias("at"), "value", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    first = counted.agg(F.min(place).alias("first"))
+    joined = rows.join(first, F.lit(True))
+    body = joined.select(
+        F.lit(1).alias("part"), "at", "copy",
+        F.when((F.col("at") == F.col("first")) & (F.col("copy") == 1), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    edge = lambda part, text: first.select(F.lit(part).alias("part"), F.lit(None).cast(body.schema["at"].dataType).alias("at"), F.lit(1).cast("long").alias("copy"), F.lit(text).alias("value"))
+    return body.unionByName(edge(0, head)).unionByName(edge(2, tail))

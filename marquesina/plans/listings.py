@@ -9,6 +9,8 @@ from marquesina.operators import feed as D, skew
 from marquesina.operators.dashboards import count_since
 from marquesina.plans.bindings import ORDERS_DAY
 from marquesina.plans.registry import query
+from marquesina.session import work_dir
+from marquesina.sources import tables as S
 
 def today():
     return F.lit(ORDERS_DAY).cast("date")
@@ -147,18 +149,34 @@ def _(b):
     return D.source_details(b.src.select("id", "name"), b.src_url, b.cfg)
 
 
-@query("a13_feed_events", f"""
+FEED = f"""
 WITH s AS (SELECT * FROM {{ev}} WHERE status = 'active' AND deleted_at IS NULL AND id IN (SELECT event_id FROM {{occ}} WHERE start_date BETWEEN {DAY} AND {DAY} + 90))
 SELECT e.id, 'event' AS kind, NULL AS item, e.name, e.short_name, e.emoji, e.sublocation, l.name AS location, CAST(l.lat AS DOUBLE) AS lat, CAST(l.lng AS DOUBLE) AS lng
 FROM s e LEFT JOIN {{loc}} l ON l.id = e.location_id
 UNION ALL SELECT event_id, 'occurrence', {OCC_ITEM}, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{occ}} WHERE event_id IN (SELECT id FROM s)
 UNION ALL SELECT event_id, 'url', url, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{ev_url}} WHERE event_id IN (SELECT id FROM s)
-UNION ALL SELECT event_id, 'tag', tag, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{ev_tag}} WHERE event_id IN (SELECT id FROM s)""")
-def _(b):
+UNION ALL SELECT event_id, 'tag', tag, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {{ev_tag}} WHERE event_id IN (SELECT id FROM s)"""
+
+
+def feed(b):
     f = D.feed_events(b.ev, b.occ, b.ev_url, b.ev_tag, b.loc, today())
     return f.select("id", "kind", "item", "name", "short_name", "emoji", "sublocation", "location", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
 
 
+@query("a13_feed_events", FEED)
+def _(b):
+    return feed(b)
+
+
+@query("a13_feed_document", FEED)
+def _(b):
+    """The feed written as one list and read back."""
+    path, rows = work_dir(b.spark, "feed"), feed(b)
+    lines = rows.select("id", "kind", "item", F.to_json(F.struct(*rows.columns)).alias("value"))
+    S.write_document(lines, ["id", "kind", "item"], S.FEED_EDGES, path)
+    return S.read_document(b.spark, path, S.FEED_EDGES).select(F.from_json("value", rows.schema).alias("r")).select("r.*")
+
+
 @query("a14_feed_locations", """
 WITH p AS (SELECT * FROM {loc} WHERE deleted_at IS NULL AND lat IS NOT NULL AND lng IS NOT NULL)
 SELECT id, 'location' AS kind, NULL AS item, name, short_name, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng, emoji FROM p
@@ -232,18 +250,42 @@ def _(b):
     return geocode_worklist(b.loc).select("id", "name", "address")
 
 
-@query("a15_c25_marker_features", """
+MARKERS = """
 WITH k AS (SELECT DISTINCT l.id FROM {loc} l JOIN {ev} e ON e.location_id = l.id WHERE e.deleted_at IS NULL),
 p AS (SELECT l.* FROM {loc} l WHERE l.id IN (SELECT id FROM k) AND l.lat IS NOT NULL AND (l.lat <> 0 OR l.lng <> 0)),
-f AS (SELECT id, 'icon' AS kind, '' AS short_name, -10000 - CAST(lat AS DOUBLE) AS sort_key, emoji FROM p
-UNION ALL SELECT id, 'label', COALESCE(short_name, name), -CAST(lat AS DOUBLE), emoji FROM p
-UNION ALL SELECT id, 'short', very_short_name, 10000 - CAST(lat AS DOUBLE), emoji FROM p)
-SELECT id, kind, short_name, ROUND(sort_key, 6) AS sort_key, CASE emoji WHEN '🎭' THEN '#a33' WHEN '🎵' THEN '#33a' ELSE '#444' END AS colour FROM f""")
-def _(b):
+f AS (SELECT id, 'icon' AS kind, '' AS short_name, -10000 - CAST(lat AS DOUBLE) AS sort_key, emoji, lat, lng FROM p
+UNION ALL SELECT id, 'label', COALESCE(short_name, name), -CAST(lat AS DOUBLE), emoji, lat, lng FROM p
+UNION ALL SELECT id, 'short', very_short_name, 10000 - CAST(lat AS DOUBLE), emoji, lat, lng FROM p)
+"""
+
+
+def markers(b):
     colours = b.spark.createDataFrame([("🎭", "#a33"), ("🎵", "#33a")], "emoji string, colour string")
     loc = b.loc.filter("lat IS NOT NULL").withColumn("location_key", F.col("id").cast("string"))
     keys = D.active(b.ev).select(F.col("location_id").cast("string").alias("location_key"))
-    return D.marker_features(loc, keys, colours).select(F.col("location_key").cast("long").alias("id"), "kind", "short_name", F.round("sort_key", 6).alias("sort_key"), "colour")
+    return D.marker_features(loc, keys, colours)
+
+
+@query("a15_c25_marker_features", MARKERS + """
+SELECT id, kind, short_name, ROUND(sort_key, 6) AS sort_key, CASE emoji WHEN '🎭' THEN '#a33' WHEN '🎵' THEN '#33a' ELSE '#444' END AS colour FROM f""")
+def _(b):
+    return markers(b).select(F.col("location_key").cast("long").alias("id"), "kind", "short_name", F.round("sort_key", 6).alias("sort_key"), "colour")
+
+
+@query("a15_geojson_document", MARKERS + """
+SELECT id, COALESCE(short_name, '') AS short_name, CASE WHEN kind = 'icon' THEN 'emoji-' || COALESCE(emoji, '📍') END AS icon, kind = 'short' AS is_short_label, ROUND(sort_key, 6) AS sort_key,
+  CASE emoji WHEN '🎭' THEN '#a33' WHEN '🎵' THEN '#33a' ELSE '#444' END AS colour, ROUND(CAST(lng AS DOUBLE), 6) AS lng, ROUND(CAST(lat AS DOUBLE), 6) AS lat FROM f""")
+def _(b):
+    """Markers written as one map document and read back."""
+    path = work_dir(b.spark, "markers")
+    S.write_document(D.geojson_lines(markers(b)), ["sort_key"], S.GEOJSON_EDGES, path)
+    kind = ("type string, geometry struct<type:string,coordinates:array<double>>, "
+            "properties struct<locationKey:string,shortName:string,emojiImageId:string,color:string,isShortLabel:boolean,sortKey:double>")
+    f = S.read_document(b.spark, path, S.GEOJSON_EDGES).select(F.from_json("value", kind).alias("f")).select("f.geometry.coordinates", "f.properties.*")
+    return f.select(
+        F.col("locationKey").cast("long").alias("id"), F.col("shortName").alias("short_name"), F.col("emojiImageId").alias("icon"),
+        F.coalesce("isShortLabel", F.lit(False)).alias("is_short_label"), F.round("sortKey", 6).alias("sort_key"), F.col("color").alias("colour"),
+        F.round(F.get("coordinates", F.lit(0)), 6).alias("lng"), F.round(F.get("coordinates", F.lit(1)), 6).alias("lat"))
 
 
 @query("h15_display_names", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from marquesina.operators.feed import document_lines
 from marquesina.schemas import SCHEMAS
 
 
@@ -43,14 +44,22 @@ def tag_settings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return settings_of(spark.read.text(path, wholetext=True))
 
 
-def write_feed(feed: DataFrame, path: str) -> None:
-    """Feed rows as JSON lines, times and dates as text."""
-    feed.write.mode("overwrite").json(path)
+FEED_EDGES = ("[", "]")
+GEOJSON_EDGES = ('{"type":"FeatureCollection","features":[', "]}")
 
 
-def write_geojson(lines: DataFrame, path: str) -> None:
-    """Sorted feature lines for the map (A15); see ``operators.feed.geojson_lines``."""
-    lines.orderBy("sort_key").select("value").write.mode("overwrite").text(path)
+def write_document(lines: DataFrame, order: list[str], edges: tuple[str, str], path: str) -> None:
+    """Write JSON lines as one document (A13, A15): its parts, joined in the order of their names, are valid JSON.
+
+    Ranges of the order go to different tasks and files; nothing is brought together.
+    """
+    document_lines(lines, order, *edges).orderBy("part", "at", "copy").select("value").write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str, edges: tuple[str, str]) -> DataFrame:
+    """The elements (value) of a written document, without their commas."""
+    lines = spark.read.text(path).filter(~F.col("value").isin(*edges))
+    return lines.select(F.regexp_replace("value", "^,", "").alias("value"))
 
 
 def pages_of(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -12,6 +14,9 @@ from marquesina.operators.crawl import COOLDOWN_SECONDS
 
 OUT = "host long, seq long, cooling_until double, in_cooldown boolean"
 
+# Workers need not find the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Cooldowns(StatefulProcessor):
     """Per host the requests the watermark has not passed yet, and the newest refusal before them.

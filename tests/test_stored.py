@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquesina.sources.store import KeyedTable
+from marquesina.sources.tables import GEOJSON_EDGES, read_document, write_document
 from marquesina.streaming.cooldowns import cooldown_stream
+from marquesina.streaming.feeds import hourly_log_kpis, read_log_stream, running_progress
 from marquesina.streaming.limits import cooldown_audit
 
 START = dt.datetime(2026, 4, 10, tzinfo=dt.timezone.utc)
@@ -74,3 +76,48 @@ def test_cooldowns_of_stream_and_table(spark, tmp_path, rocks):
     expected = cooldown_audit(table, F.floor(F.col("at") / 600)).select("host", "seq", "in_cooldown").collect()
     assert sorted((x.host, x.seq, x.in_cooldown) for x in got) == sorted(map(tuple, expected))
     assert any(x.in_cooldown for x in got)
+    # Only the last row, which no watermark has passed, is still held.
+    assert progress.stateOperators[0].numRowsTotal <= 2
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    at = lambda h, m=0: START + dt.timedelta(hours=h, minutes=m)
+    schema = "event string, tier int, at timestamp, event_count int"
+    line = lambda *t: ("source_complete", 1, at(*t), 2)
+    slices = [
+        [line(0, 5), line(0, 50), line(1, 10)],
+        [line(0, 55), line(2, 30)],  # late by less than the hour allowed
+        [line(0, 58), line(3, 5)],  # its window has been told: dropped
+        [line(9)],
+    ]
+    got, progress = stream_rows(spark, tmp_path, slices, schema, lambda s: hourly_log_kpis(s))
+    hour = lambda h: at(h).replace(tzinfo=None)
+    assert sorted((x.hour, x.lines, x.events) for x in got) == [(hour(0), 3, 6), (hour(1), 1, 2), (hour(2), 1, 2), (hour(3), 1, 2)]
+    assert progress.stateOperators[0].numRowsTotal == 1
+
+
+def test_progress_in_update_mode(spark, tmp_path):
+    source, told = str(tmp_path / "in"), []
+    os.makedirs(source)
+    lines = [("source_complete", "a", None), ("source_extracted", "a", 3), ("source_extracted", "b", 4), ("source_extracted", "a", 2)]
+    for part in (lines[:2], lines[2:]):
+        with open(f"{source}/{len(told)}.json", "w") as f:
+            f.writelines(json.dumps({"event": e, "run": r, "events_extracted": n}) + "\n" for e, r, n in part)
+        q = running_progress(read_log_stream(spark, source)).writeStream.outputMode("update").foreachBatch(
+            lambda d, n: told.append(sorted(map(tuple, d.collect())))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+    assert [t for t in told if t] == [[("a", 1, 3)], [("a", 1, 5), ("b", 0, 4)]]
+
+
+def test_parts_join_to_one_document(spark, tmp_path):
+    r = random.Random(2)
+    for name, n in (("many", 500), ("one", 1), ("none", 0)):
+        rows = [(float(r.randrange(40)), json.dumps({"n": r.randrange(30)})) for _ in range(n)]
+        lines = spark.createDataFrame(rows, "sort_key double, value string").repartition(5)
+        path = str(tmp_path / name)
+        write_document(lines, ["sort_key"], GEOJSON_EDGES, path)
+        parts = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+        whole = json.loads("".join(open(f"{path}/{p}").read() for p in parts))
+        assert whole == {"type": "FeatureCollection", "features": [json.loads(v) for _, v in sorted(rows)]}
+        assert sorted(x.value for x in read_document(spark, path, GEOJSON_EDGES).collect()) == sorted(v for _, v in rows)
