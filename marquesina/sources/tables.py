@@ -1,24 +1,10 @@
-"""Readers and writers of the engine's tables."""
+"""Readers and writers of the engine's tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marquesina.operators.feed import document_lines
-from marquesina.schemas import SCHEMAS
-
-
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with its declared schema; nothing is inferred."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}")
-
-
-def write_snapshot(df: DataFrame, folder: str, name: str, version: int, partition_by: list[str] | None = None) -> str:
-    """Write a new version of a table; earlier versions stay, since files are not changed in place."""
-    path = f"{folder.rstrip('/')}/{name}/version={version}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return path
 
 
 def edges_of(objects: DataFrame) -> DataFrame:
@@ -60,7 +46,3 @@ def read_document(spark: SparkSession, path: str, edges: tuple[str, str]) -> Dat
     """The elements (value) of a written document, without their commas."""
     lines = spark.read.text(path).filter(~F.col("value").isin(*edges))
     return lines.select(F.regexp_replace("value", "^,", "").alias("value"))
-
-
-def pages_of(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit)
