@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquesina.functions import jsons as J
-from marquesina.functions.text import blank_to_null, body_after_url, leading_url
+from marquesina.functions.text import blank_to_null, body_after_url, leading_url, let
 from marquesina.operators.crawl import MAX_CONTENT
 from marquesina.operators.skew import running_total, top_per_key
 
@@ -150,15 +150,17 @@ def is_large_page(text: Column) -> Column:
 
 def chunk_by_events(text: Column, per_chunk: int = EVENTS_PER_CHUNK) -> Column:
     """Chunks of at most ``per_chunk`` marked events; text before the first event joins the first (L1)."""
-    pieces = F.split(text, rf"(?={MARKER})")
-    lead = F.when(F.get(pieces, F.lit(0)).rlike(rf"\A(?:{MARKER})"), 0).otherwise(1)
-    chunks = F.greatest(F.ceil((F.size(pieces) - lead) / per_chunk).cast("int"), F.lit(1))
-    def chunk(k: Column) -> Column:
-        start = F.when(k == 0, 1).otherwise(k * per_chunk + lead + 1)
-        end = (k + 1) * per_chunk + lead
-        body = F.array_join(F.slice(pieces, start, end - start + 1), "")
-        return F.when(k < chunks - 1, F.regexp_replace(body, r"\n\z", "")).otherwise(body)
-    return F.transform(F.sequence(F.lit(0), chunks - 1), chunk)
+    def of(pieces: Column, lead: Column) -> Column:
+        chunks = F.greatest(F.ceil((F.size(pieces) - lead) / per_chunk).cast("int"), F.lit(1))
+        def chunk(k: Column) -> Column:
+            start = F.when(k == 0, 1).otherwise(k * per_chunk + lead + 1)
+            end = (k + 1) * per_chunk + lead
+            body = F.array_join(F.slice(pieces, start, end - start + 1), "")
+            return F.when(k < chunks - 1, F.regexp_replace(body, r"\n\z", "")).otherwise(body)
+        return F.transform(F.sequence(F.lit(0), chunks - 1), chunk)
+    # The text is cut once and the pieces are named, not once for every chunk.
+    lead = lambda pieces: F.when(F.get(pieces, F.lit(0)).rlike(rf"\A(?:{MARKER})"), 0).otherwise(1)
+    return let(F.split(text, rf"(?={MARKER})"), lambda pieces: let(lead(pieces), lambda n: of(pieces, n)))
 
 
 def _greedy(items: Column, limit: int, joiner: str, extra: int, oversize=None) -> Column:
@@ -190,12 +192,13 @@ def chunk_by_size(text: Column, limit: int = CHUNK_CHARS) -> Column:
 
 def chunk(text: Column, per_chunk: int = EVENTS_PER_CHUNK, limit: int = CHUNK_CHARS) -> Column:
     """Chunks and the way they were cut: events, single or size (L3)."""
-    by_events = chunk_by_events(text, per_chunk)
-    several = F.size(by_events) > 1
-    return F.struct(
-        F.when(several, by_events).when(F.length(text) <= limit, F.array(text)).otherwise(chunk_by_size(text, limit)).alias("chunks"),
-        F.when(several, "events").when(F.length(text) <= limit, "single").otherwise("size").alias("method"),
-    )
+    def of(by_events: Column) -> Column:
+        several = F.size(by_events) > 1
+        return F.struct(
+            F.when(several, by_events).when(F.length(text) <= limit, F.array(text)).otherwise(chunk_by_size(text, limit)).alias("chunks"),
+            F.when(several, "events").when(F.length(text) <= limit, "single").otherwise("size").alias("method"),
+        )
+    return let(chunk_by_events(text, per_chunk), of)
 
 
 def prompt_inputs(contents: DataFrame, results: DataFrame, sources: DataFrame, configs: DataFrame, known: DataFrame, day: Column) -> DataFrame:

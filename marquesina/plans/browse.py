@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from marquesina.functions import dates as DT, geo as G, text as T
 from marquesina.operators import browse as S, search as X
 from marquesina.plans.registry import query
-from marquesina.session import materialize
+from marquesina.session import materialize, work_dir
+from marquesina.sources import cells as CL
 
 # The tag choices, the viewport corners and the centre the queries run with.
 SELECTED = {"promo": "selected", "AFRICA": "selected", "Brand#4": "forbidden"}
@@ -102,11 +103,24 @@ def _(b):
     return b.fev.join(b.loc_tag.filter(F.col("tag").isin("ASIA", "EUROPE")), "location_id", "left_semi").select("event_id")
 
 
-@query("b9_j2_viewport", f"SELECT event_id, location_key FROM (SELECT event_id, location_key, {XY} FROM {{fev}}) WHERE {IN_QUAD}")
+VIEWPORT = f"SELECT event_id, location_key FROM (SELECT event_id, location_key, {XY} FROM {{fev}}) WHERE {IN_QUAD}"
+
+
+@query("b9_j2_viewport", VIEWPORT)
 def _(b):
     return S.in_viewport(b.fev, QUAD).select("event_id", "location_key")
 
 
+@query("b9_stored_viewport", VIEWPORT)
+def _(b):
+    """Events written in order of their cells; the view reads the ranges of cells it covers."""
+    folder = work_dir(b.spark, "points")
+    CL.write_points(b.fev.select("event_id", "location_key", "lat", "lng"), "lat", "lng", folder)
+    lats, lngs = [c[0] for c in QUAD], [c[1] for c in QUAD]
+    near = CL.read_box(b.spark, folder, (min(lats), min(lngs)), (max(lats), max(lngs)))
+    return S.in_viewport(near, QUAD).select("event_id", "location_key")
+
+
 @query("b10_city_box", f"SELECT id, y BETWEEN 10.35 AND 10.55 AND x BETWEEN -67.05 AND -66.75 AS inside FROM (SELECT id, {XY} FROM {{loc}})")
 def _(b):
     return b.loc.select("id", G.in_city(F.col("lat").cast("double"), F.col("lng").cast("double")).alias("inside"))
