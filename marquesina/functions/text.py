@@ -87,8 +87,7 @@ def _syllable(c: Column) -> Column:
 def _decompose(c: Column, form: str, marks: str) -> Column:
     sources, targets, expansions, rare = _folding(form, marks)
     table = F.str_to_map(F.lit(expansions), F.lit("\x01"), F.lit("\x02"))
-    simple = F.translate(c, sources, targets)
-    expanded = F.array_join(
+    expanded = lambda simple: F.array_join(
         F.transform(
             F.split(simple, ""),
             lambda ch: F.when(F.ascii(ch).between(0xAC00, 0xD7A3), _syllable(ch))
@@ -97,12 +96,9 @@ def _decompose(c: Column, form: str, marks: str) -> Column:
         ),
         "",
     )
-    # Almost no text holds characters that expand to several, so most rows stop at translate.
-    return (
-        F.when(~c.rlike(r"[^\x00-\x7f]"), c)
-        .when(simple.rlike(rare), expanded)
-        .otherwise(simple)
-    )
+    # Almost no text holds characters that expand to several, so most rows stop at translate, which runs once.
+    translated = let(F.translate(c, sources, targets), lambda simple: F.when(simple.rlike(rare), expanded(simple)).otherwise(simple))
+    return F.when(~c.rlike(r"[^\x00-\x7f]"), c).otherwise(translated)
 
 
 def unaccent_nfkd(c: Column) -> Column:

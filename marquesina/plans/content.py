@@ -277,8 +277,8 @@ WORDS_SQL = """list_filter(list_distinct(string_split(trim(regexp_replace(regexp
 
 @query("h3_significant_words", f"SELECT doc_id, list_aggregate(list_sort({WORDS_SQL}), 'string_agg', ' ') AS words FROM {{documents}}")
 def _(b):
-    w = F.array_sort(N.significant_words(T.normalize_name(F.col("text"))))
-    return b.documents.select("doc_id", F.when(F.size(w) > 0, strings(w, " ")).alias("words"))
+    w = F.sort_array(N.significant_words(T.normalize_name(F.col("text"))))
+    return b.documents.select("doc_id", T.let(w, lambda x: F.when(F.size(x) > 0, strings(x, " "))).alias("words"))
 
 
 @query("h2_stems", """
