@@ -117,3 +117,18 @@ def test_nearest_feature_equals_brute_force(spark):
     got = {x.point_id: x.location_key for x in B.nearest_feature(
         spark.createDataFrame(points, "point_id long, lat double, lng double"), spark.createDataFrame(features, "location_key string, at_lat double, at_lng double"), 0.01).collect()}
     assert got == {i: min(((x - lng) ** 2 + (y - lat) ** 2, k) for k, y, x in features)[1] for i, lat, lng in points}
+
+
+def test_best_of_names_that_differ_in_a_number(spark):
+    r = random.Random(7)
+    venues = [f"customer{n:09d}" for n in r.sample(range(3000), 500)] + ["furniture hall peru", "furniture hall iran"]
+    keys = [f"customer{n:09d}" for n in r.sample(range(3000), 40)] + [f"customer{n:09d} iran" for n in r.sample(range(3000), 10)] + ["furniture hal peru", "customer00000012", "cus"]
+    asked, held = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((sorted(set(keys) - set(venues)), "key"), (venues, "venue")))
+    want = set()
+    for (k,) in asked.collect():
+        scores = {v: SequenceMatcher(None, v, k).ratio() for v in venues}
+        want |= {(k, v) for v, x in scores.items() if x == max(scores.values()) >= 0.85}
+    assert {(x.key, x.venue) for x in V.best_fuzzy(asked, held).collect()} == want
+    floors = V._scored(V._near(asked, held)).filter("score >= 0.85").groupBy("key").agg(F.max("score").alias("floor"))
+    left = V._candidates(asked.join(floors, "key").select("key", "floor"), held, True)
+    assert floors.count() > 30 and left.count() < 0.01 * floors.count() * len(venues)
