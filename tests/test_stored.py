@@ -121,3 +121,19 @@ def test_parts_join_to_one_document(spark, tmp_path):
         whole = json.loads("".join(open(f"{path}/{p}").read() for p in parts))
         assert whole == {"type": "FeatureCollection", "features": [json.loads(v) for _, v in sorted(rows)]}
         assert sorted(x.value for x in read_document(spark, path, GEOJSON_EDGES).collect()) == sorted(v for _, v in rows)
+
+
+def test_tasks_stay_small_in_a_session_made_elsewhere(spark, tmp_path):
+    from marquesina.plans.bindings import Bound
+
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for k in held:
+            spark.conf.unset(k)
+        Bound(spark, str(tmp_path))
+        rows = spark.range(0, 3_000_000, 1, 4).selectExpr("id * 7919 % 1000003 AS k", "uuid() AS v")
+        parts = rows.groupBy("k").agg({"v": "max"}).rdd.getNumPartitions()
+        assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
