@@ -30,26 +30,37 @@ def parse_time_text(text: Column) -> Column:
 
 
 def clock(text: Column) -> Column:
-    """Struct of hours and minutes from free text, noon when there is none to read (I4)."""
-    low = F.lower(text)
-    bare = F.regexp_replace(low, "am|pm", "")
+    """Struct of hours and minutes from free text, noon when there is none to read (I4).
+
+    Every step is bound, so that a pattern runs once a text however often its result is used.
+    """
     shape = r"^\s*(\d+)\s*(?::\s*(\d*)\s*(?::.*)?)?$"
-    hour = F.regexp_extract(bare, shape, 1).try_cast("int")
-    minute = F.regexp_extract(bare, shape, 2).try_cast("int")
-    shift = F.when(F.contains(low, F.lit("pm")), F.when(hour < 12, 12).otherwise(0)).when(
-        F.contains(low, F.lit("am")) & (hour == 12), -12).otherwise(0)
-    return F.struct(
-        F.coalesce(hour + shift, F.lit(12)).alias("hours"),
-        F.when(hour.isNull(), 0).otherwise(F.coalesce(minute, F.lit(0))).alias("minutes"))
+
+    def read(low: Column) -> Column:
+        part = lambda bare, n: F.regexp_extract(bare, shape, n).try_cast("int")
+        return let(let(F.regexp_replace(low, "am|pm", ""), lambda bare: F.struct(part(bare, 1).alias("hour"), part(bare, 2).alias("minute"))), lambda p: put(low, p["hour"], p["minute"]))
+
+    def put(low: Column, hour: Column, minute: Column) -> Column:
+        shift = F.when(F.contains(low, F.lit("pm")), F.when(hour < 12, 12).otherwise(0)).when(
+            F.contains(low, F.lit("am")) & (hour == 12), -12).otherwise(0)
+        return F.struct(
+            F.coalesce(hour + shift, F.lit(12)).alias("hours"),
+            F.when(hour.isNull(), 0).otherwise(F.coalesce(minute, F.lit(0))).alias("minutes"))
+
+    return let(F.lower(text), read)
 
 
 def event_instant(date_text: Column, time_text: Column) -> Column:
     """Instant of a listed date and time in the fixed offset of the events."""
-    day = F.unix_date(F.when(date_text.rlike(r"^\d{4}-\d{2}-\d{2}$"), date_text).try_cast("date"))
-    at = clock(time_text)
-    hours, minutes = at["hours"], at["minutes"]
-    valid = F.when((hours < 24) & (minutes < 60), hours * 3600 + minutes * 60)
-    return F.timestamp_seconds(day.cast("long") * 86400 - OFFSET_HOURS * 3600 + valid)
+    return day_instant(F.when(date_text.rlike(r"^\d{4}-\d{2}-\d{2}$"), date_text).try_cast("date"), time_text)
+
+
+def day_instant(day: Column, time_text: Column) -> Column:
+    """The same for a date that is one already; no text is made of it."""
+    def seconds(at: Column) -> Column:
+        hours, minutes = at["hours"], at["minutes"]
+        return F.when((hours < 24) & (minutes < 60), hours * 3600 + minutes * 60)
+    return F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 - OFFSET_HOURS * 3600 + let(clock(time_text), seconds))
 
 
 def parse_listed_occurrences(raw: Column) -> Column:
@@ -74,12 +85,15 @@ def local(at: Column) -> Column:
 
 def effective_end(start: Column, end: Column) -> Column:
     """An end before 05:00 of another day counts as the last instant of the day before."""
-    def shift(t: Column) -> Column:
-        wall = local(t["end"])
-        overnight = (F.to_date(local(t["start"])) != F.to_date(wall)) & (F.hour(wall) < NIGHT_CUTOFF_HOUR)
-        day_before = F.to_utc_timestamp(F.date_trunc("day", wall), EVENT_ZONE) - F.expr("interval 1 millisecond")
-        return F.when(overnight, day_before).otherwise(t["end"])
-    return let(F.struct(start.alias("start"), end.alias("end")), shift)
+    return let(F.struct(start.alias("start"), end.alias("end")), lambda t: effective_end_of(t["start"], t["end"]))
+
+
+def effective_end_of(start: Column, end: Column) -> Column:
+    """The same where both are stored columns: nothing has to be bound, so the zone is looked up once, not once a row."""
+    wall = local(end)
+    overnight = (F.to_date(local(start)) != F.to_date(wall)) & (F.hour(wall) < NIGHT_CUTOFF_HOUR)
+    day_before = F.to_utc_timestamp(F.date_trunc("day", wall), EVENT_ZONE) - F.expr("interval 1 millisecond")
+    return F.when(overnight, day_before).otherwise(end)
 
 
 def filter_bounds(start: dt.date | None, end: dt.date | None, app_start: dt.date, app_end: dt.date) -> tuple[Column, Column]:

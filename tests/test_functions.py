@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquesina.functions import dates as D, geo as G, jsons as J, names as N, tags as TG, text as T, venues as V
-from marquesina.operators import content as C
+from marquesina.operators import browse as B, content as C
 
 
 def values(spark, items, expr, kind="string"):
@@ -123,3 +123,34 @@ def test_chunks_by_event(spark):
     text = "intro\n" + "\n".join(f"{i}. ### [E{i}]\nbody" for i in range(5))
     got = values(spark, [text, "none"], lambda c: C.chunk_by_events(c, 2))
     assert [c.count("###") for c in got[0]] == [2, 2, 1] and "\n".join(got[0]) == text and got[1] == ["none"]
+
+
+CLOCKS = [None, "", "7:30 PM", "19:00", "12am", "12:15 am", "7 pamm", "25:00", "10:75", "9:", "8 : 5 : x", "99999999999", "noon", " 7 ", "13 pm"]
+
+
+def test_clock_reads_a_text_once(spark):
+    """However often its parts are used, a pattern runs once: one look for each of hour and minute."""
+    rows = spark.createDataFrame([(dt.date(2026, 4, 1), c) for c in CLOCKS], "d date, c string")
+    made = rows.select(D.day_instant(F.col("d"), F.col("c")).alias("a"), D.event_instant(F.date_format("d", "yyyy-MM-dd"), F.col("c")).alias("b"), "c")
+    plan = rows.select(D.day_instant(F.col("d"), F.col("c")).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 2 and plan.count("regexp_replace") == 1
+    got = {r.c: (r.a, r.b) for r in made.collect()}
+    at = lambda h, m: dt.datetime(2026, 4, 1) + dt.timedelta(hours=h + 4, minutes=m)
+    want = dict.fromkeys(CLOCKS, at(12, 0)) | {
+        "7:30 PM": at(19, 30), "19:00": at(19, 0), "12am": at(0, 0), "12:15 am": at(0, 15), "25:00": None, "10:75": None, "9:": at(9, 0), "8 : 5 : x": at(8, 5), " 7 ": at(7, 0), "13 pm": at(13, 0)}
+    assert got == {c: (t, t) for c, t in want.items()}
+
+
+def test_stored_ends_equal_bound_ends(spark):
+    starts = [dt.datetime(2026, 4, 1, h, 0) for h in (3, 4, 12, 23)]
+    rows = spark.createDataFrame([(s, s + dt.timedelta(minutes=m)) for s in starts for m in (0, 90, 300, 900, 2000)] + [(starts[0], None)], "s timestamp, e timestamp")
+    made = rows.select(D.effective_end(F.col("s"), F.col("e")).alias("a"), D.effective_end_of(F.col("s"), F.col("e")).alias("b"), "e").collect()
+    assert all(r.a == r.b for r in made) and any(r.a != r.e for r in made)
+
+
+def test_days_around_a_range_keep_ends_that_cannot_be_read(spark):
+    day = dt.date
+    rows = [(1, day(2026, 4, 10), None, day(2026, 4, 1), "25:00"), (2, day(2026, 4, 1), None, None, None), (3, day(2026, 4, 1), None, day(2026, 4, 10), None)]
+    occurrences = spark.createDataFrame(rows, "event_id long, start_date date, start_time string, end_date date, end_time string")
+    near = B.around_days(occurrences, day(2026, 4, 9), day(2026, 4, 11))
+    assert {r.event_id for r in near.collect()} == {1, 3}
