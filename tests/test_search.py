@@ -73,3 +73,13 @@ def test_points_without_a_place_stay(spark):
     features = spark.createDataFrame([("a", 0.0, 0.0), ("b", None, 1.0)], "location_key string, at_lat double, at_lng double")
     assert {tuple(r) for r in B.nearest_feature(points, features, 0.01).collect()} == {(1, None), (2, "a")}
     assert {tuple(r) for r in B.nearest_feature(points, features.filter("location_key = 'b'"), 0.01).collect()} == {(1, None), (2, None)}
+
+
+def test_index_is_over_different_texts(spark):
+    """Copies of a text add no postings, and every key of a text is found."""
+    index = X.build_index(texts_of(spark, [(k, "urgent show") for k in range(7, 57)] + [(3, "low show")]))
+    assert index.postings.count() == len("urgent show") + len("low show")
+    assert {(r.first, r.text) for r in index.words.collect()} == {(7, "urgent show"), (3, "low show")}
+    found = lambda term: {r.key for r in X.keys_with(index, term).collect()}
+    assert found("gent") == found("ur") == set(range(7, 57)) and found("show") == {3, *range(7, 57)}
+    assert X.postings_by_key(index).filter("gram = 'urg'").count() == 50
