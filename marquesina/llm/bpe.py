@@ -15,6 +15,7 @@ import functools
 import heapq
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,6 +79,14 @@ def piece_pattern(path: str) -> str:
     return f"{CONTRACTIONS}| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
+def narrowed(pattern: str, top: int) -> str:
+    """The pattern for texts whose characters do not pass ``top``: its classes without the ranges beyond, which are slow to test."""
+    def cut(run: re.Match) -> str:
+        first, last = int(run[1], 16), min(int(run[2], 16), top)
+        return f"\\U{first:08x}-\\U{last:08x}" if first <= top else ""
+    return re.sub(r"\\U([0-9a-f]{8})-\\U([0-9a-f]{8})", cut, pattern)
+
+
 class Codec:
     """Encodes and decodes with the vocabulary, merges and special tokens of a file of ``tokenizers``."""
 
@@ -96,7 +105,8 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}
         self.strings.update({i: content.encode() for content, i in self.special.items()})
         self.cut_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces = re.compile(pattern).findall
+        self.wide = re.compile("[\U00010000-\U0010ffff]").search
+        self.cuts = [re.compile(narrowed(pattern, top)).findall for top in (0x7F, 0xFFFF, 0x10FFFF)]
         self.memo: dict[str, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
@@ -104,8 +114,7 @@ class Codec:
         ids = [self.first[b] for b in piece]
         n, join = len(ids), self.join
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(*join[pair], at) for at, pair in enumerate(zip(ids, ids[1:])) if pair in join]
-        queue = [(rank, at, new) for rank, new, at in queue]
+        queue = [(found[0], at, found[1]) for at, pair in enumerate(zip(ids, ids[1:])) if (found := join.get(pair))]
         heapq.heapify(queue)
         while queue:
             _, at, new = heapq.heappop(queue)
@@ -124,8 +133,13 @@ class Codec:
                 heapq.heappush(queue, (found[0], left, found[1]))
         return [i for i in ids if i >= 0]
 
+    def pieces(self, text: str) -> list[str]:
+        """Pieces of a text, by the narrowest classes that know all its characters."""
+        return self.cuts[0 if text.isascii() else 2 if self.wide(text) else 1](text)
+
     def _piece(self, piece: str) -> bytes:
-        out = np.array(self.merged(piece.encode()), dtype="<u4").tobytes()
+        ids = self.merged(piece.encode())
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= REMEMBERED:
             if len(self.memo) > MEMO:
                 self.memo.clear()

@@ -251,3 +251,17 @@ def test_bpe_query(spark):
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
         said = library.decode(ids, skip_special_tokens=False).encode()
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(said).hexdigest())
+
+
+def test_bpe_pieces_by_narrow_classes():
+    """The classes used for a text know no characters beyond its kind, and cut as the whole pattern does."""
+    path = bpe.tokenizer_path()
+    pattern = bpe.piece_pattern(path)
+    codec, whole = bpe.Codec(path, pattern), re.compile(pattern).findall
+    assert not re.search(r"\\U(0000(00[89a-f]|0[1-9a-f]|[1-9a-f])|000[1-9]|0010)", bpe.narrowed(pattern, 0x7F))
+    assert bpe.narrowed(pattern, 0x10FFFF) == pattern
+    r = random.Random(3)
+    kinds = ["aZ09 \n\t'!.-", "aé日٣ 　²'s ¿͸￿", "a1 𝒳𝟗😀𐒠 é'll \U0010ffff"]
+    for kind in kinds:
+        for text in ["", *("".join(r.choice(kind) for _ in range(r.randrange(40))) for _ in range(400))]:
+            assert codec.pieces(text) == whole(text)
