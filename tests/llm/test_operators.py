@@ -219,6 +219,23 @@ def test_line_dedup(spark, corpus):
             assert cleaned[d]["text"] == left and cleaned[d]["n_chars"] == len(left or "")
 
 
+def test_near_misses_of_a_large_group_are_not_written_as_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    base = words(rng, 60).split()
+    rows = []
+    for i in range(300):  # variants of one line, and as many lines that are a little too far from all of them
+        w = list(base)
+        for k in rng.sample(range(60), 1 if i < 150 else 14):
+            w[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(w)))
+    written, keep = [], lines.stage
+    monkeypatch.setattr(lines, "stage", lambda df, label: written.append((keep(df, label), label)) or written[-1][0])
+    monkeypatch.setattr(lines, "drop_materialized", lambda *frames: None)
+    got = {(r[0], r[1]): (r[2], r[3]) for r in lines.removed_lines(frame(spark, rows)).collect()}
+    assert got == brute_lines(rows)[0] and len(got) == 149
+    assert max(df.count() for df, _ in written) <= 2 * lines.ANCHORS * len(rows)
+
+
 def test_short_lines_repeat_exactly(spark):
     rows = [(1, "Yes.\n}\n一行中文没有空格"), (2, "no\n yes. \n\n"), (3, "}\t\n一行中文没有空格\nnew")]
     got = ordered(tuple(r) for r in lines.removed_lines(frame(spark, rows)).collect())
