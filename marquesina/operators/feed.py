@@ -123,11 +123,16 @@ def source_details(sources: DataFrame, urls: DataFrame, configs: DataFrame) -> D
     return details(sources, "id", "source", {"url": _items(active(urls), F.col("url"), "source_id"), "config": _items(configs, config, "source_id")})
 
 
+def feed_heads(events: DataFrame, occurrences: DataFrame, today: Column) -> DataFrame:
+    """Active events with an occurrence in the next 90 days."""
+    return active(events).filter("status = 'active'").join(upcoming_ids(occurrences, today, FUTURE_DAYS), "id", "left_semi")
+
+
 def feed_events(
     events: DataFrame, occurrences: DataFrame, urls: DataFrame, tags: DataFrame, locations: DataFrame, today: Column,
 ) -> DataFrame:
     """Active events with an occurrence in the next 90 days, and all their occurrences."""
-    shown = active(events).filter("status = 'active'").join(upcoming_ids(occurrences, today, FUTURE_DAYS), "id", "left_semi")
+    shown = feed_heads(events, occurrences, today)
     keep = shown.select(F.col("id").alias("event_id"))
     child = lambda df: df.join(keep, "event_id", "left_semi")
     return event_details(

@@ -9,7 +9,7 @@ from marquesina.operators import feed as D, skew
 from marquesina.operators.dashboards import count_since
 from marquesina.plans.bindings import ORDERS_DAY
 from marquesina.plans.registry import query
-from marquesina.session import work_dir
+from marquesina.session import materialize, work_dir
 from marquesina.sources import tables as S
 
 def today():
@@ -159,7 +159,14 @@ UNION ALL SELECT event_id, 'tag', tag, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 
 
 def feed(b):
-    f = D.feed_events(b.ev, b.occ, b.ev_url, b.ev_tag, b.loc, today())
+    """The feed; lines of other events are left out once, before occurrences, urls and tags are made of the rest.
+
+    Left to the end, every child would be moved for all events, tags twice more to find the different ones.
+    """
+    shown = D.feed_heads(b.ev, b.occ, today()).select(F.col("id").alias("l_orderkey"))
+    lines = b.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate").join(shown, "l_orderkey", "left_semi")
+    c = b.over(lineitem=materialize(lines, "feed-lines"))
+    f = D.feed_events(b.ev, c.occ, c.ev_url, c.ev_tag, b.loc, today())
     return f.select("id", "kind", "item", "name", "short_name", "emoji", "sublocation", "location", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
 
 

@@ -132,3 +132,11 @@ def test_best_of_names_that_differ_in_a_number(spark):
     floors = V._scored(V._near(asked, held)).filter("score >= 0.85").groupBy("key").agg(F.max("score").alias("floor"))
     left = V._candidates(asked.join(floors, "key").select("key", "floor"), held, True)
     assert floors.count() > 30 and left.count() < 0.01 * floors.count() * len(venues)
+
+
+def test_feed_children_are_made_of_lines_of_shown_events_only(spark):
+    from marquesina.plans.bindings import Bound
+    from marquesina.plans.listings import feed
+
+    read = feed(Bound(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert not [f for f in read if "lineitem" in f] and [f for f in read if "feed-lines" in f]
