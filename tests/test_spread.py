@@ -140,3 +140,19 @@ def test_feed_children_are_made_of_lines_of_shown_events_only(spark):
 
     read = feed(Bound(spark, "/root/testdata/sf0.001")).inputFiles()
     assert not [f for f in read if "lineitem" in f] and [f for f in read if "feed-lines" in f]
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    import time
+
+    from marquesina.session import materialize
+
+    key, files = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", lambda: {
+        f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, held = files(), spark.conf.get(key)
+    out = materialize(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert files() - before == set() and spark.conf.get(key) == held
+    assert out.count() == 100
